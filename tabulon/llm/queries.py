@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import decontaminate, lines, pieces, secrets, sharding
-from tabulon.llm.common import table
+from tabulon.llm import decontaminate, lines, pieces, secrets, sharding, token_files
+from tabulon.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_line_dedup"] = lines.ORACLE
+
+
+@query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of documents, written to coded files and read back from them."""
+    path = Scratch(spark, "token-files").path
+    token_files.write_documents(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"))
+    return token_files.read(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
