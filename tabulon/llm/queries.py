@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import decontaminate, lines, pieces, secrets, sharding, token_files
+from tabulon.llm import decontaminate, language, lines, pieces, secrets, sharding, token_files
 from tabulon.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,13 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "token-files").path
     token_files.write_documents(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"))
     return token_files.read(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of documents, learned from the folds that are not held out."""
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs, tokenizer("piece_bpe_32k.model"), ~held_out)
+    out = language.predict(docs.select("doc_id", "text"), model)
+    return out.select("row.doc_id", "lang_pred", "score").withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
