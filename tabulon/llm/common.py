@@ -33,7 +33,13 @@ class Scratch:
         self.spark, self.path = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.path}/{name}")
+        clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # this job's shuffle files go when it ends
+        before = self.spark.conf.get(clean)
+        self.spark.conf.set(clean, "true")
+        try:
+            df.write.parquet(f"{self.path}/{name}")
+        finally:
+            self.spark.conf.set(clean, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import decontaminate, language, lines, pieces, secrets, sharding, token_files
+from tabulon.llm import decontaminate, language, lines, near, pieces, secrets, sharding, token_files
 from tabulon.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,9 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(docs, tokenizer("piece_bpe_32k.model"), ~held_out)
     out = language.predict(docs.select("doc_id", "text"), model)
     return out.select("row.doc_id", "lang_pred", "score").withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of documents on shingles of four words, at a similarity of 0.8."""
+    return near.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
