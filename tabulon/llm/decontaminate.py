@@ -14,9 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulon.llm.common import Scratch, slices
 
@@ -105,8 +107,8 @@ def _scanner(patterns: dict[bytes, list[str]], first: bool, schema: pa.Schema):
                     found |= set(batch.column("items")[i].as_py())
                 spans.append(offsets(text.encode("utf-8", "surrogatepass"), own) if own else [])
                 items.append(sorted(found))
-            cols = [batch.column("id"), batch.column("text"), pa.array(counts, pa.int64()), pa.array(spans, schema.field("spans").type), pa.array(items, schema.field("items").type)]
-            yield pa.RecordBatch.from_arrays([c for c, n in zip(cols, ("id", "text", "n_words", "spans", "items"), strict=True) if n in schema.names], schema=schema)
+            cols = [batch.column("row"), batch.column("text"), pa.array(counts, pa.int64()), pa.array(spans, schema.field("spans").type), pa.array(items, schema.field("items").type)]
+            yield pa.RecordBatch.from_arrays([c for c, n in zip(cols, ("row", "text", "n_words", "spans", "items"), strict=True) if n in schema.names], schema=schema)
 
     return run
 
@@ -121,28 +123,51 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: i
         yield [(r["item"], r["text"]) for r in block.collect()]
 
 
-def scan_documents(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES
+def scan_rows(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """One row per document: the id, n_words, spans (merged matched runs: code point offsets in the original text, first word, number of words), items (ids found, sorted as strings).
+    """All rows: row struct (the columns as they came), n_words, spans (merged matched runs: code point offsets in the original text, first word, number of words), items (ids found, sorted as strings).
 
     One pass over the texts, without a shuffle, for each block of ``block_bytes`` of items; usually there is one.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+    row, text, more = rows.schema["row"], rows.schema["text"], T._parse_datatype_string(f"n_words long, {SPANS}").fields
     scratch, blocks = Scratch(spark, "decontaminate"), list(item_blocks(benchmark, item_col, item_text_col, block_bytes))
     for k, items in enumerate(blocks):
         last = k == len(blocks) - 1
-        schema = f"id {kind}, {'' if last else 'text string, '}n_words long, {SPANS}"
+        schema = T.StructType([row, *([] if last else [text]), *more])
         arrow = spark.createDataFrame([], schema).toArrow().schema
         rows = rows.mapInArrow(_scanner(windows(items, window), k == 0, arrow), schema)
         if not last:
             rows = scratch.save(rows, f"block{k}")
-    return rows.withColumnRenamed("id", id_col)
+    return rows
 
 
-def contaminated(share: float = 0.05):
+def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per document: the id, then n_words, spans and items as above."""
+    found = scan_rows(docs.select(id_col, text_col), benchmark, text_col=text_col, **options)
+    return found.select(F.col("row")[id_col].alias(id_col), "n_words", "spans", "items")
+
+
+def cut(text: Column, spans: Column) -> Column:
+    """The text without those spans."""
+
+    @F.pandas_udf("string")
+    def run(t: pd.Series, spans: pd.Series) -> pd.Series:
+        def one(x, found):
+            kept, at = [], 0
+            for s in found:
+                kept.append(x[at : s["start"]])
+                at = s["end"]
+            return "".join([*kept, x[at:]])
+
+        return pd.Series([x if found is None or not len(found) else one(x, found) for x, found in zip(t, spans, strict=True)])
+
+    return run(text, spans)
+
+
+def contaminated(share: float = 0.05) -> Column:
     """Whether hits make up at least ``share`` of a document's words."""
     n_hit = F.aggregate("spans", F.lit(0), lambda a, s: a + s["n_words"])
     return (n_hit > 0) & (n_hit >= F.lit(share) * F.col("n_words"))
