@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import ann, decontaminate, language, lines, near, pieces, secrets, sharding, token_files
+from tabulon.llm import ann, decontaminate, language, lines, near, pieces, secrets, sharding, suffix, token_files
 from tabulon.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,11 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every fiftieth."""
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without strings of 100 bytes that start earlier too."""
+    out = suffix.dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
