@@ -95,7 +95,7 @@ def _from_serial(x: float, kind: str, base: dt.datetime):
         ms = round(x * 86_400_000)
         if kind == "duration":
             return dt.timedelta(milliseconds=ms)
-        if base.year == 1900 and x < 60:  # the 29th of February 1900, which never was
+        if base.year == 1899 and x < 60:  # the 29th of February 1900, which never was
             ms += 86_400_000
         return base + dt.timedelta(milliseconds=ms)
     except (OverflowError, ValueError):
