@@ -79,6 +79,19 @@ def map_table(spark: SparkSession, versions: list[int], slots: int = SLOTS) -> D
     return spark.createDataFrame(rows, "version int, virtual_slot int, shard int")
 
 
+def store_map(spark: SparkSession, path: str, version: int, shard_of: list[int]) -> None:
+    """Store a version of a map; versions are never overwritten, so old placements can be looked up."""
+    rows = [(slot, shard) for slot, shard in enumerate(shard_of)]
+    spark.createDataFrame(rows, "virtual_slot int, shard int").coalesce(1).write.mode("error").parquet(f"{path}/version={version}")
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int]]:
+    """A stored version, or the latest, and its map: one row a slot."""
+    stored = spark.read.parquet(path)
+    version = stored.agg(F.max("version")).first()[0] if version is None else version
+    return version, [r["shard"] for r in stored.where(F.col("version") == version).orderBy("virtual_slot").collect()]
+
+
 def slot_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """Rows and bytes of each virtual slot that has rows; at most ``slots`` rows."""
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1

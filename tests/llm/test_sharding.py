@@ -40,3 +40,13 @@ def test_shard(spark):
     assert all(r.grown_shard in (r.shard, 3) for r in got)
     assert s.shard(docs.limit(0), 3).count() == 0
     assert {r.virtual_slot: r.n_bytes for r in s.slot_bytes(docs).collect()}
+
+
+def test_stored_versions(spark, tmp_path):
+    path = f"{tmp_path}/map"
+    old = s.slot_map(8)
+    s.store_map(spark, path, 1, old)
+    s.store_map(spark, path, 2, s.grow(old, 8))
+    assert s.load_map(spark, path, 1) == (1, old) and s.load_map(spark, path) == (2, s.slot_map(9))
+    with pytest.raises(Exception, match="already exists|EXISTS"):
+        s.store_map(spark, path, 2, old)
