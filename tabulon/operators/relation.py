@@ -136,12 +136,14 @@ def structured(sheet: Sheet, explicit_only: bool = True) -> DataFrame:
 
 
 def typed(sheet: Sheet, schema: T.StructType, trim: bool = True) -> DataFrame:
-    """_row and the columns of ``schema``, by header name (trimmed if asked for). The first cell in row order that doesn't fit raises ConversionError.
+    """_row and the columns of ``schema``, by header name (trimmed if asked for), or by position in a sheet without a header. The first cell in row order that doesn't fit raises ConversionError.
 
-    Only whole numbers, numbers, booleans, dates, times and texts of their own kind fit; whole
-    numbers fit where numbers are wanted, and dates where datetimes are.
+    Cells fit columns of their own kind; whole numbers fit where numbers are wanted, dates where
+    datetimes are, datetimes at midnight where dates are, and ISO texts where either is.
     """
     by_name = {(n.strip() if trim else n): n for n in sheet.names}
+    if sheet.header_row is None:
+        by_name = {f.name: n for f, n in zip(schema, sheet.names, strict=False)}
     made, errors = [F.col(ROW)], []
     for f in schema:
         if f.name not in by_name:
@@ -153,11 +155,13 @@ def typed(sheet: Sheet, schema: T.StructType, trim: bool = True) -> DataFrame:
         want = C.native_kind(f.dataType)
         value = F.lit(None).cast(f.dataType)
         good = c.column.isNull()
-        kinds = {"float": ("float", "int"), "dateTime": ("dateTime", "date"), "int": ("int",)}.get(want, (want,))
+        kinds = {"float": ("float", "int"), "dateTime": ("dateTime", "date", "string"), "date": ("date", "dateTime", "string")}.get(want, (want,))
         for k in kinds:
             if k in c.kinds():
                 raw = c.column if c.kind else c.get(k)
-                cast = raw.try_cast(f.dataType) if want in ("int", "float", "dateTime") else raw.cast(f.dataType)
+                cast = raw.try_cast(f.dataType) if want in ("int", "float", "dateTime", "date") else raw.cast(f.dataType)
+                if (want, k) == ("date", "dateTime"):
+                    cast = F.when(raw == F.date_trunc("day", raw), cast)
                 value = F.when(c.has(k), cast).otherwise(value)
                 good = good | (c.has(k) & cast.isNotNull())
         bad = ~good if f.nullable else ~good | c.column.isNull()

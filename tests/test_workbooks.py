@@ -134,6 +134,16 @@ def test_typed_rows(spark, tmp_path):
     assert e.value.row == 4 and "Error" in str(e.value)
 
 
+def test_typed_dates_and_positions(spark, tmp_path):
+    path = str(tmp_path / "p.xlsx")
+    X.save(path, [{"a": dt.date(2020, 1, 2), "b": "2020-01-03"}, {"a": "2020-01-04T05:06:07", "b": None}], options=X.WriteOptions(header=False))
+    s = W.read(spark, path)
+    both = T.StructType([T.StructField("when", T.TimestampNTZType()), T.StructField("day", T.DateType())])
+    assert [tuple(r) for r in S.typed(s, both).orderBy("_row").collect()] == [(1, dt.datetime(2020, 1, 2), dt.date(2020, 1, 3)), (2, dt.datetime(2020, 1, 4, 5, 6, 7), None)]
+    with pytest.raises(ConversionError, match="row 1"):
+        S.typed(s, T.StructType([T.StructField("n", T.LongType())]))
+
+
 def test_analysis_of_a_workbook(spark, tmp_path):
     path = str(tmp_path / "s.xlsx")
     X.save(path, [{"k": "a", "v": 1}, {"k": "b", "v": 2.5}, {"k": "a", "v": None}])
