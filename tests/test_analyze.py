@@ -161,13 +161,13 @@ def plans(draw):
     return M.Plan(tuple(own), by, draw(st.none() | tree), draw(st.sampled_from([1, 3, 100])), draw(st.sampled_from([None, 1, 2])), draw(st.sampled_from([0, 2])))
 
 
-@settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
 @given(rows=st.lists(st.tuples(cells, cells), max_size=7), plan=plans())
 def test_plans_are_the_interpreters(spark, rows, plan):
     assert same(run(cell_sheet(spark, ["p", "q"], rows), plan), interpret(["p", "q"], rows, plan)), (rows, plan)
 
 
-@settings(max_examples=30, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
 @given(rows=st.lists(st.tuples(st.sampled_from([None, "a", "ab", ""]), st.sampled_from([None, 1.0, 2.5, -3.0])), max_size=7), plan=plans())
 def test_typed_plans_are_the_interpreters(spark, rows, plan):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n int, p string, q double")
