@@ -87,10 +87,41 @@ def sheets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, id int, index int, name string, sheet_type string, visibility string, is_active boolean")
 
 
-def _record(c: Cell) -> dict:
-    value = C.of_python(c.value)
-    cell = dict(zip(C.CELL.names, value, strict=True)) if value else None
-    return dict(zip(STRUCTURED.names, (c.column, cell, c.formula, c.style, c.format), strict=True))
+class _Batch:
+    """Rows gathered as flat columns of their cells."""
+
+    def __init__(self):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        self.schema = to_arrow_schema(ROWS)
+        self.rows: list[tuple[str, str, int]] = []
+        self.ends = [0]
+        self.outer: list[list] = [[] for _ in STRUCTURED.names]
+        self.inner: list[list] = [[] for _ in C.CELL.names]
+
+    def add(self, path: str, sheet: str, row: int, cells: list[Cell]) -> None:
+        for c in cells:
+            v = C.of_python(c.value)
+            for held, x in zip(self.outer, (c.column, v is None, c.formula, c.style, c.format), strict=True):
+                held.append(x)
+            for held, x in zip(self.inner, v or _NOTHING, strict=True):
+                held.append(x)
+        self.rows.append((path, sheet, row))
+        self.ends.append(len(self.outer[0]))
+
+    def arrow(self):
+        import pyarrow as pa
+
+        fields = self.schema.field("cells").type.value_type
+        of_cell = fields.field("cell").type
+        cell = pa.StructArray.from_arrays([pa.array(v, of_cell.field(k).type) for k, v in enumerate(self.inner)], fields=list(of_cell), mask=pa.array(self.outer[1], pa.bool_()))
+        parts = [cell if k == 1 else pa.array(v, fields.field(k).type) for k, v in enumerate(self.outer)]
+        cells = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.StructArray.from_arrays(parts, fields=list(fields)))
+        path, sheet, row = zip(*self.rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(sheet, pa.string()), pa.array(row, pa.int64()), cells.cast(self.schema.field("cells").type)], schema=self.schema)
+
+
+_NOTHING = (None,) * len(C.CELL.names)
 
 
 def structured_rows(spark: SparkSession, path: str, options: ReadOptions = ReadOptions()) -> DataFrame:
@@ -98,21 +129,19 @@ def structured_rows(spark: SparkSession, path: str, options: ReadOptions = ReadO
     start, end, name, ignore = options.start, options.end, options.sheet_name, options.ignore_empty_rows
 
     def run(batches) -> Iterator:
-        import pandas as pd
-
-        for pdf in batches:
-            for p, content in zip(pdf["path"], pdf["content"], strict=True):
-                w = Workbook(content)
-                info, held = w.sheet(name), []
+        for batch in batches:
+            for p, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                w, held = Workbook(content), _Batch()
+                info = w.sheet(name)
                 for row, cells in w.rows(info, start, end, ignore):
-                    held.append((p, info.name, row, [_record(c) for c in cells]))
-                    if len(held) == 2000:
-                        yield pd.DataFrame(held, columns=ROWS.names)
-                        held = []
-                if held:
-                    yield pd.DataFrame(held, columns=ROWS.names)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ROWS)
+                    held.add(p, info.name, row, cells)
+                    if len(held.rows) == 5000:
+                        yield held.arrow()
+                        held = _Batch()
+                if held.rows:
+                    yield held.arrow()
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ROWS)
 
 
 def header_of(w: Workbook, info: SheetInfo, options: ReadOptions, typed: bool = False) -> tuple[int, list[int], list[str], int | None]:
