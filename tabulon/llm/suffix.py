@@ -17,8 +17,9 @@ holds places, not text. Batches of documents come in id order:
 3. Before the next batch, levels of equal size merge, so that there are logarithmically many.
 
 Entries that share an anchor but not all bytes (at the ends of repeated passages) are compared
-string by string on the text itself: in sorted runs where an anchor has up to ``MANY`` such
-entries, and by digests of single strings where it has more, so that no group has to fit a task.
+string by string on the text itself, in sorted runs of about ``MANY`` entries. An anchor with more
+of them takes several runs; the strings that each run has first meet by their digests, so that no
+group has to fit a task, and what is repeated within a run stays there.
 
 Null texts are empty; texts shorter than ``LENGTH`` stay whole. Rows equal in id and text are one
 document to each other. Rows that repeat an id with other texts are ordered by their checksum; a
@@ -38,7 +39,7 @@ from tabulon.llm.common import Scratch, slices
 
 LENGTH, GRAM = 100, 24
 #: Batches that a table is taken in, and entries of one anchor that are compared in one run.
-BATCHES, MANY = 4, 64
+BATCHES, MANY = 4, 4096
 
 _POSITION = np.uint64((1 << 23) - 1)
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -176,14 +177,14 @@ class Family:
 def _with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes that entries span, of the documents that have such entries."""
     for batch in slices(batches, most=1_000_000):
-        out: dict[str, list] = {k: [] for k in ("h", "many", "id", "sub", "a", "n", "bytes")}
+        out: dict[str, list] = {k: [] for k in ("h", "runs", "id", "sub", "a", "n", "bytes")}
         for i, sub, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("id", "sub", "text", "wanted")), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             for w in wanted:
                 n = w["shape"] >> 8
-                for k, v in zip(out, (w["h"], w["many"], i, sub, w["a"], n, raw[w["a"] : w["a"] + n + LENGTH - 1]), strict=True):
+                for k, v in zip(out, (w["h"], w["runs"], i, sub, w["a"], n, raw[w["a"] : w["a"] + n + LENGTH - 1]), strict=True):
                     out[k].append(v)
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("h", pa.int64()), ("many", pa.bool_()), ("id", pa.int64()), ("sub", pa.int64()), ("a", pa.int64()), ("n", pa.int32()), ("bytes", pa.binary())]))
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("h", pa.int64()), ("runs", pa.int32()), ("id", pa.int64()), ("sub", pa.int64()), ("a", pa.int64()), ("n", pa.int32()), ("bytes", pa.binary())]))
 
 
 def _runs(flags: list[bool]) -> Iterator[tuple[int, int]]:
@@ -198,50 +199,42 @@ def _runs(flags: list[bool]) -> Iterator[tuple[int, int]]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of h, then of place: the strings that an earlier entry of the same anchor has."""
-    now, seen = None, set()
-    for batch in batches:
-        ids, subs, starts, counts = [], [], [], []
-        for h, i, sub, a, n, raw in zip(*(batch.column(c).to_pylist() for c in ("h", "id", "sub", "a", "n", "bytes")), strict=True):
-            if h != now:
-                now, seen = h, set()
-            strings = [raw[k : k + LENGTH] for k in range(n)]
-            for k, m in _runs([s in seen for s in strings]) if seen else ():
-                ids.append(i)
-                subs.append(sub)
-                starts.append(a + k)
-                counts.append(m)
-            seen.update(strings)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(subs, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int32())], names=["id", "sub", "a", "n"])
-
-
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each string's digest and place."""
+    """Rows in order of run, then of place: the strings that an earlier entry of the same run has, and, where an anchor has several runs, the digests of the others."""
     import xxhash
 
+    now, seen = None, set()
     for whole in batches:
         for at in range(0, whole.num_rows, 2000):
-            batch = whole.slice(at, 2000)
-            out: dict[str, list] = {k: [] for k in ("digest", "id", "sub", "a")}
-            for i, sub, a, n, raw in zip(*(batch.column(c).to_pylist() for c in ("id", "sub", "a", "n", "bytes")), strict=True):
-                out["digest"] += [xxhash.xxh3_128_digest(raw[k : k + LENGTH]) for k in range(n)]
-                out["id"] += [i] * n
-                out["sub"] += [sub] * n
-                out["a"] += range(a, a + n)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("digest", pa.binary()), ("id", pa.int64()), ("sub", pa.int64()), ("a", pa.int64())]))
+            out: dict[str, list] = {k: [] for k in ("digest", "id", "sub", "a", "n")}
+            for h, runs, run, i, sub, a, n, raw in zip(*(whole.slice(at, 2000).column(c).to_pylist() for c in ("h", "runs", "run", "id", "sub", "a", "n", "bytes")), strict=True):
+                if (h, run) != now:
+                    now, seen = (h, run), set()
+                strings = [raw[k : k + LENGTH] for k in range(n)]
+                old = []
+                for x in strings:  # an entry can hold a string twice
+                    old.append(x in seen)
+                    seen.add(x)
+                rows = [(None, k, m) for k, m in _runs(old)]
+                if runs > 1:
+                    rows += [(xxhash.xxh3_128_digest(x), k, 1) for k, (x, o) in enumerate(zip(strings, old, strict=True)) if not o]
+                for digest, k, m in rows:
+                    for name, v in zip(out, (digest, i, sub, a + k, m), strict=True):
+                        out[name].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("digest", pa.binary()), ("id", pa.int64()), ("sub", pa.int64()), ("a", pa.int64()), ("n", pa.int32())]))
 
 
 def partial_matches(docs: DataFrame, index: DataFrame, scratch: Scratch, many: int = MANY) -> DataFrame:
     """(id, sub, a, n): repeated strings in entries that share an anchor with others, but not all bytes."""
-    anchors = index.groupBy("h").agg(F.count(F.lit(1)).alias("n_entries")).where("n_entries > 1").select("h", (F.col("n_entries") > many).alias("many"))
-    wanted = index.join(anchors, "h").groupBy("id", "sub").agg(F.collect_list(F.struct("h", "many", "a", "shape")).alias("wanted"))
-    spans = "h long, many boolean, id long, sub long, a long, n int, bytes binary"
-    found = scratch.save(docs.join(wanted, ["id", "sub"]).select("id", "sub", "text", "wanted").mapInArrow(_with_bytes, spans), "partial")
-    few = found.where("NOT many").repartition("h").sortWithinPartitions("h", "id", "sub", "a").mapInArrow(_compare, "id long, sub long, a long, n int")
-    single = found.where("many").mapInArrow(_strings, "digest binary, id long, sub long, a long")
-    firsts = single.groupBy("digest").agg(F.min(F.struct("id", "sub", "a")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    rest = single.join(firsts, "digest").where(F.struct("id", "sub", "a") != F.col("first")).select("id", "sub", "a", F.lit(1).alias("n"))
-    return scratch.save(few.unionByName(rest), "partial-later")
+    anchors = index.groupBy("h").agg(F.count(F.lit(1)).alias("n_entries")).where("n_entries > 1").select("h", F.ceil(F.col("n_entries") / many).cast("int").alias("runs"))
+    wanted = index.join(anchors, "h").groupBy("id", "sub").agg(F.collect_list(F.struct("h", "runs", "a", "shape")).alias("wanted"))
+    spans = "h long, runs int, id long, sub long, a long, n int, bytes binary"
+    found = docs.join(wanted, ["id", "sub"]).select("id", "sub", "text", "wanted").mapInArrow(_with_bytes, spans)
+    found = found.withColumn("run", F.pmod(F.xxhash64("id", "sub"), F.col("runs"))).repartition("h", "run").sortWithinPartitions("h", "run", "id", "sub", "a")
+    compared = scratch.save(found.mapInArrow(_compare, "digest binary, id long, sub long, a long, n int"), "compared")
+    single, place = compared.where("digest IS NOT NULL"), F.struct("id", "sub", "a")
+    firsts = single.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    rest = single.join(firsts, "digest").where(place != F.col("first")).select("id", "sub", "a", "n")
+    return scratch.save(compared.where("digest IS NULL").select("id", "sub", "a", "n").unionByName(rest), "partial-later")
 
 
 def merge_spans(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
