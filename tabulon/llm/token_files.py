@@ -21,7 +21,9 @@ document id are all written, in the order of their ids; extra columns are ignore
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,40 +35,55 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.common import Scratch, slices
 
-VERSION, LANES, CHECK_STEPS, BLOCK_IDS = 1, 512, 256, 1 << 18
+VERSION, LANES, CHECK_STEPS, BLOCK_IDS = 1, 1024, 128, 1 << 18
 #: Frequencies add up to 2 to this power; states lie in [LOW, 2**63).
 BITS, LOW = 20, 1 << 31
 HEAD = struct.Struct("<4sHHIIIQQII")
 #: Chunks whose ids a worker keeps; about 200 bytes each.
-TABLE_ENTRIES = 600_000
+TABLE_ENTRIES = 1_000_000
 #: Chunks encoded in one call; the library is slower on much longer strings and on single chunks.
 JOINED = 20
 #: Bytes of ids of one file, about.
 FILE_BYTES = 128 << 20
 
 
+#: Letters that lower-casing and composition leave alone, and how the vocabulary writes their bytes.
+PLAIN = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)]))
+_BYTES = {b: chr(b) for b in [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]}
+_BYTES |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _BYTES)}
+_WRITTEN = {ord(c): "".join(_BYTES[b] for b in c.encode()) for c in PLAIN if ord(c) > 127}
+_WORD = re.compile(f"[{PLAIN}]+")
+_TAIL = frozenset(".,;:!?")
+
+
 class WordCodec:
     """Ids as the tokenizers library gives them, for a vocabulary that never joins over white space.
 
     Texts are cut at spaces, tabs and line feeds; each distinct chunk of a block of texts is
-    encoded once, many in one call, and the ids go back by position.
+    encoded once, and the ids go back by position. A chunk is looked up as its stem: in lower case
+    if it is ASCII (the vocabulary's normaliser does that), and without one mark after a letter
+    (its pattern always cuts there). Stems of plain letters go to the merges directly; the others
+    go through the whole library, several in one call.
     """
 
     def __init__(self, path: str, entries: int = TABLE_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok, self.entries, self.ids = Tokenizer.from_file(path), entries, {"": b""}
+        self.tok, self.entries = Tokenizer.from_file(path), entries
         if len(self.tok.encode("a b", add_special_tokens=False).ids) != 2 or self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("this vocabulary cannot be used chunk by chunk")
-
-    def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.ids]
-        if len(self.ids) + len(new) > self.entries:
-            self.ids = {"": b""}
-            new = [c for c in chunks if c]
-        for k in range(0, len(new), JOINED):
-            part = new[k : k + JOINED]
+        if [t.id for t in self.tok.model.tokenize("thé".translate(_WRITTEN))] != self.tok.encode("thé", add_special_tokens=False).ids:
+            raise ValueError("this vocabulary writes letters otherwise")
+        self.merge = self.tok.model.tokenize
+        self.tails = {c: np.array(self.tok.encode(c, add_special_tokens=False).ids, "<u2").tobytes() for c in _TAIL} | {"": b""}
+        self.packed = [struct.pack("<H", i) for i in range(self.tok.get_vocab_size())]
+        self.ids: dict[str, bytes] = {"": b""}
+
+    def _whole(self, stems: list[str]) -> None:
+        """Through the whole library, several stems in one call."""
+        for k in range(0, len(stems), JOINED):
+            part = stems[k : k + JOINED]
             starts = np.zeros(len(part), np.int64)
             np.cumsum([len(c) + 1 for c in part[:-1]], out=starts[1:])
             e = self.tok.encode("\n".join(part), add_special_tokens=False)
@@ -77,6 +94,32 @@ class WordCodec:
                 self.ids[c] = ids[2 * at : 2 * end]
                 at = end
 
+    def learn(self, chunks: set[str]) -> None:
+        ids, merge, packed, tails = self.ids, self.merge, self.packed, self.tails
+        new = chunks - ids.keys()
+        if len(ids) + len(new) > self.entries:
+            ids.clear()
+            ids[""] = b""
+            new = chunks - {""}
+        later, rest = [], set()
+        for c in new:
+            plain = c.isascii()
+            stem, tail = c.lower() if plain and "<|" not in c else c, ""
+            if stem[-1] in _TAIL and len(stem) > 1 and stem[-2] <= "\xff" and stem[-2].isalpha():
+                stem, tail = stem[:-1], stem[-1]
+            found = ids.get(stem)
+            if found is None:
+                if (plain and stem.isalpha()) or _WORD.fullmatch(stem):
+                    found = ids[stem] = b"".join([packed[t.id] for t in merge(stem if plain else stem.translate(_WRITTEN))])
+                else:
+                    rest.add(stem)
+                    later.append((c, stem, tail))
+                    continue
+            ids[c] = found + tails[tail]
+        self._whole(list(rest))
+        for c, stem, tail in later:
+            ids[c] = ids[stem] + tails[tail]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 16-bit integers."""
         cut = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
@@ -85,14 +128,20 @@ class WordCodec:
         return [b"".join(map(get, c)) for c in cut]
 
 
+@functools.lru_cache(maxsize=2)
+def codec(path: str) -> WordCodec:
+    """The one of this worker, which keeps its table from task to task."""
+    return WordCodec(path)
+
+
 def tokenize(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids binary (16-bit little-endian, the end id appended)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, end = WordCodec(path), struct.pack("<H", end_id)
+        coder, end = codec(path), struct.pack("<H", end_id)
         for batch in slices(batches, most=4_000_000):
-            ids = codec.encode([t or "" for t in batch.column("text").to_pylist()])
+            ids = coder.encode([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x + end for x in ids], pa.binary())], names=["id", "ids"])
 
     return rows.mapInArrow(run, "id long, ids binary")
