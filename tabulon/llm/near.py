@@ -6,12 +6,16 @@ takes the value of the non-empty bin that comes first in an order of its own (op
 densification). Bands of ``rows`` bins make buckets. Documents of equal sets are one node from the
 start, so copies never meet in a bucket.
 
-Candidate pairs are stars: in each bucket, its smallest member against the others. Each pair is
-confirmed on the full sets. A bucket whose members are then still in different components takes
-further centres, 1, 2, 4, 8, ... of them a round, against members of other components only, until
-every pair of its members was compared or is connected. So nothing that shares a bucket is lost,
-no bucket is capped, and pairs within a group of near copies stay in proportion to its members.
-At a similarity of 0.8, 50 bands of 5 rows miss a pair with probability 2e-9.
+Candidate pairs are stars: in each bucket its centre, the member that meets most others in all its
+buckets, against the other members. Each pair is confirmed on the full sets. That leaves pairs of
+members that aren't connected yet. What both share lies inside the centre's set or outside: inside
+it is bounded by what each shares with the centre, so such a pair must share a shingle outside, or
+both lie almost wholly inside. Members that share a shingle outside make the buckets of the next
+round, and so do those almost wholly inside. There, members of different components are compared
+directly in buckets of up to ``FEW`` members, and larger ones have centres again, until no bucket
+has members of different components. So no pair that shares a bucket is lost, no bucket is capped,
+pairs stay in proportion to members, and a hot bucket is never compared all against all. At a
+similarity of 0.8, 100 bands of 8 rows miss a pair with probability 1e-8.
 
 Null and word-less texts have the empty set and are linked with nothing; texts of fewer words than
 a shingle are one shingle; rows that repeat an id are one node; rows with a null id are linked
@@ -30,7 +34,11 @@ from pyspark.sql import functions as F
 from tabulon.llm.common import Scratch, slices
 from tabulon.llm.graph import components
 
-BANDS, ROWS = 50, 5
+BANDS, ROWS = 100, 8
+#: Bins that an empty one looks at before it looks at all.
+TRIES = 32
+#: Members of a later round's bucket up to which those of different components are compared directly.
+FEW = 128
 #: Words that a worker keeps the hashes of; about 150 bytes each.
 TABLE_ENTRIES = 400_000
 
@@ -80,6 +88,7 @@ class Sketcher:
         self.bands, self.rows, bins = bands, rows, bands * rows
         self.edges = np.array([(i << 64) // bins for i in range(bins)], np.uint64)
         self.order = np.random.default_rng(20).random((bins, bins)).astype(np.float32)
+        self.first = np.argsort(self.order, axis=1, kind="stable")[:, :TRIES].copy()
         self.salt = mix(np.arange(1, bands + 1, dtype=np.uint64) * _MIX[0])
 
     def signature(self, s: np.ndarray) -> np.ndarray:
@@ -88,6 +97,14 @@ class Sketcher:
         out = s[np.minimum(at, len(s) - 1)]
         if not full.all():
             empty, used = np.flatnonzero(~full), np.flatnonzero(full)
+            if len(used) > TRIES:  # most find one among the first of their order
+                tries = self.first[empty]
+                hit = full[tries]
+                place = np.argmax(hit, axis=1)
+                rows = np.arange(len(empty))
+                ok = hit[rows, place]
+                out[empty[ok]] = out[tries[rows, place][ok]]
+                empty = empty[~ok]
             out[empty] = out[used[np.argmin(self.order[np.ix_(empty, used)], axis=1)]]
         return out
 
@@ -134,18 +151,48 @@ def full_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, shingles array<long>")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough."""
+def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b): a, b, n (size of b's set), shared, linked, and rest: of b's shingles outside a's set, in one fixed order, as many as it takes to meet any set that is similar to b and shares so many of them."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb")).alias("total"))
-    return both.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b").distinct()
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("sb").alias("n"), F.size("sa").alias("m"), F.size(F.array_intersect("sa", "sb")).alias("shared"), F.array_except("sb", "sa").alias("rest"))
+    # similar sets share percent of the larger; of that, at most ``shared`` lies inside a's set
+    outside = F.greatest(F.lit(1), F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") - F.col("shared"))
+    linked = 100 * F.col("shared") >= percent * (F.col("n") + F.col("m") - F.col("shared"))
+    return both.select("a", "b", "n", "shared", linked.alias("linked"), F.slice("rest", F.lit(1), F.greatest(F.lit(0), F.size("rest") - outside + 1)).alias("rest"))
 
 
-def _fits(n: str, m: str, percent: int):
-    """Sizes that such a similarity allows."""
-    return (F.lit(percent) * F.greatest(n, m) <= 100 * F.least(n, m)) if percent else F.lit(True)
+def _next_buckets(groups: DataFrame, percent: int) -> DataFrame:
+    """groups (a, b, n, shared, rest, ca, component): members b of the centre a. (bucket, rep, n, component): what could still link."""
+    mixed = groups.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("a")
+    g = groups.join(mixed, "a", "left_semi")
+    outside = g.select("a", "b", "n", "component", F.explode("rest").alias("r")).select(F.xxhash64("a", "r").alias("bucket"), F.col("b").alias("rep"), "n", "component")
+    # Almost wholly inside the centre, but not linked with it; and those linked with it that could link to one of these.
+    apart = (F.col("component") != F.col("ca")) & (100 * F.col("shared") >= percent * F.col("n"))
+    best = g.where(apart).groupBy("a").agg(F.max((100 + percent) * F.col("shared") - percent * F.col("n")).alias("most"), F.min("n").alias("least"))
+    near = (percent * F.col("n") <= F.col("most")) & ((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("least")))
+    inside = g.join(best, "a").where(apart | ((F.col("component") == F.col("ca")) & near)).select(F.xxhash64("a", F.lit("inside")).alias("bucket"), F.col("b").alias("rep"), "n", "component")
+    return outside.unionByName(inside).distinct()
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """(bucket, size) of buckets with members of different components; of those with the same members, one."""
+    sums = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("xor"))
+    return sums.where("low != high").groupBy("size", "sum", "xor").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
+
+
+def _stars(members: DataFrame, weight: DataFrame) -> DataFrame:
+    """members (bucket, rep): distinct (a, b), each bucket's centre and its other members."""
+    weighed = members.select("bucket", "rep").join(weight, "rep")
+    centres = weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("c")).select("bucket", (-F.col("c.rep")).alias("a"))
+    return members.join(centres, "bucket").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
+
+
+def _direct(members: DataFrame, percent: int) -> DataFrame:
+    """members of small buckets: distinct (a, b) of different components whose sizes allow a link."""
+    left = members.select("bucket", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("component").alias("ca"))
+    both = members.join(left, "bucket").where((F.col("a") < F.col("rep")) & (F.col("ca") != F.col("component")) & (percent * F.greatest("n", "m") <= 100 * F.least("n", "m")))
+    return both.select("a", F.col("rep").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,45 +202,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     every = scratch.save(sketches(texts, shingle, bands, rows), "sketches")
     nodes = every.where("id IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
 
-    # The first star: every bucket's smallest member against its others.
-    dealt = nodes.select("rep", "n", F.explode("buckets").alias("bucket"))
-    centres = dealt.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("c"), F.max("rep").alias("top")).where("c.rep != top").select("bucket", F.col("c.rep").alias("a"), F.col("c.n").alias("m"))
-    live = scratch.save(dealt.join(centres, "bucket"), "live")
-    pairs = scratch.save(live.where((F.col("a") != F.col("rep")) & _fits("n", "m", percent)).select("a", F.col("rep").alias("b")).distinct(), "pairs-0")
-    wanted = live.select(F.col("rep").alias("id")).distinct()
+    # Buckets of one member are no use.
+    dealt = nodes.select("rep", F.explode("buckets").alias("bucket"))
+    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    live = scratch.save(dealt.join(shared, "bucket"), "live")
+    weight = scratch.save(live.groupBy("rep").agg(F.sum("size").alias("weight")), "weight")
+    star, direct = scratch.save(_stars(live, weight), "stars-0"), None
+    wanted = star.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = scratch.save(full_sets(texts.join(wanted, "id", "left_semi"), shingle), "sets")
-    links = scratch.save(confirm(pairs, sets, percent), "links-0")
-    label = scratch.save(components(links, scratch, "stars-0"), "label-0")
-
-    # Further centres in buckets whose members aren't connected yet.
-    def labelled(members: DataFrame) -> DataFrame:
-        return members.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-
-    def open_buckets(members: DataFrame, done: int) -> DataFrame:
-        """Buckets with a pair that was neither compared nor connected; of those with the same members, one."""
-        sums = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("xor"))
-        return sums.where((F.col("low") != F.col("high")) & (F.col("size") > done + 1)).groupBy("size", "sum", "xor").agg(F.min("bucket").alias("bucket")).select("bucket")
-
-    checked, k, done = pairs, 0, 1
-    members = labelled(live.select("bucket", "rep", "n"))
-    members = scratch.save(members.join(open_buckets(members, done), "bucket", "left_semi"), "open-0")
-    while not members.isEmpty():
-        if k == 0:
-            from pyspark.sql import Window
-
-            members = members.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("rep")))
-            members = scratch.save(members, "ranked")
-        k, last = k + 1, 2 * done + 1
-        centre = members.where((F.col("rank") > done) & (F.col("rank") <= last)).select("bucket", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("component").alias("ca"), F.col("rank").alias("ra"))
-        star = members.join(centre, "bucket").where((F.col("rank") > F.col("ra")) & (F.col("component") != F.col("ca")) & _fits("n", "m", percent))
-        new = scratch.save(star.select("a", F.col("rep").alias("b")).distinct().join(checked, ["a", "b"], "left_anti"), f"pairs-{k}")
-        checked = checked.unionByName(new)
-        more = confirm(new, sets, percent)
-        links = scratch.save(links.unionByName(more), f"links-{k}")
-        label = scratch.save(components(links, scratch, f"stars-{k}"), f"label-{k}")
-        done = last
-        members = labelled(members.drop("component"))
-        members = scratch.save(members.join(open_buckets(members, done), "bucket", "left_semi"), f"open-{k}")
+    known, label, k = None, None, 0
+    while True:
+        new = star if known is None else star.unionByName(direct).distinct().join(known, ["a", "b"], "left_anti")
+        found = scratch.save(compare(new, sets, percent), f"compared-{k}")
+        known = found if known is None else known.unionByName(found)
+        links = found.where("linked").select("a", "b")
+        if label is None:
+            label = scratch.save(components(links, scratch, f"component-{k}"), f"label-{k}")
+        else:  # components only grow: the new links join those there are
+            of = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+            between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+            joined = scratch.save(components(between, scratch, f"component-{k}"), f"joined-{k}").select(F.col("node").alias("component"), F.col("component").alias("into"))
+            old = label.join(joined, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+            own = joined.select(F.col("component").alias("node"), F.col("into").alias("component"))
+            label = scratch.save(old.unionByName(own).distinct(), f"label-{k}")
+        groups = found if k == 0 else known.join(star, ["a", "b"], "left_semi")
+        of_a, of_b = label.select(F.col("node").alias("a"), F.col("component").alias("ca")), label.select(F.col("node").alias("b"), "component")
+        groups = groups.join(of_a, "a", "left").join(of_b, "b", "left").withColumn("ca", F.coalesce("ca", "a")).withColumn("component", F.coalesce("component", "b"))
+        members = scratch.save(_next_buckets(groups, percent), f"members-{k}")
+        k += 1
+        members = scratch.save(members.join(_open(members), "bucket"), f"open-{k}")
+        if members.isEmpty():
+            break
+        direct = _direct(members.where(F.col("size") <= FEW), percent)
+        star = scratch.save(_stars(members.where(F.col("size") > FEW), weight), f"stars-{k}")
 
     of_key = nodes.select("key", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("found"))
     component = F.when(F.col("id").isNotNull(), F.least(F.coalesce("found", "id"), "id"))

@@ -34,7 +34,7 @@ def brute(docs, n=4, percent=80):
 
 
 def test_densified_signature_estimates_similarity():
-    rng, sk = np.random.default_rng(1), near.Sketcher(50, 5)
+    rng, sk = np.random.default_rng(1), near.Sketcher(100, 8)
     for size, share in ((8, 0.5), (40, 0.8), (2000, 0.6)):
         same = []
         for _ in range(60):
