@@ -135,16 +135,20 @@ def codec(path: str) -> WordCodec:
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids binary (16-bit little-endian, the end id appended)."""
+    """id, ids binary (16-bit little-endian, the end id appended), counts null; and last in each partition a row with nothing but counts: its symbols and how often each occurs, as 64-bit integers."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = codec(path), struct.pack("<H", end_id)
+        coder, end, total = codec(path), struct.pack("<H", end_id), np.zeros(1 << 16, np.int64)
         for batch in slices(batches, most=4_000_000):
             ids = coder.encode([t or "" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x + end for x in ids], pa.binary())], names=["id", "ids"])
+            total += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=1 << 16)
+            total[end_id] += len(ids)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x + end for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names=["id", "ids", "counts"])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([np.stack([at, total[at]]).astype("<i8").tobytes()], pa.binary())], names=["id", "ids", "counts"])
 
-    return rows.mapInArrow(run, "id long, ids binary")
+    return rows.mapInArrow(run, "id long, ids binary, counts binary")
 
 
 def count_ids(tokens: DataFrame) -> np.ndarray:
@@ -153,15 +157,14 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=1 << 16) if len(x.as_buffer()) > 1 << 17 else 0
-            small = b"".join(y for y in (x.as_buffer().to_pybytes() for x in batch.column("ids")) if len(y) <= 1 << 17)
-            total += np.bincount(np.frombuffer(small, "<u2"), minlength=1 << 16)
+            for x in batch.column("counts").to_pylist():
+                at, n = np.frombuffer(x, "<i8").reshape(2, -1)
+                total[at] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["symbol", "n"])
 
     counts = np.zeros(1 << 16, np.int64)
-    for r in tokens.select("ids").mapInArrow(run, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
+    for r in tokens.where("counts IS NOT NULL").select("counts").mapInArrow(run, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
         counts[r["symbol"]] = r["n"]
     return counts
 
@@ -252,9 +255,9 @@ class Coder:
 
 
 def write(tokens: DataFrame, path: str, n_files: int | None = None, block_ids: int = BLOCK_IDS) -> None:
-    """Write ids (id, ids binary of 16-bit integers) as a set of files below ``path``, in ascending order of id.
+    """Write what ``tokenize`` gives as a set of files below ``path``, in ascending order of id.
 
-    tokens should be a saved table: it is read twice, for the frequency table and for the blocks.
+    tokens should be a saved table: it is read twice, its counts for the frequency table and its ids for the blocks.
     """
     spark = tokens.sparkSession
     counts = count_ids(tokens)
@@ -282,7 +285,7 @@ def write(tokens: DataFrame, path: str, n_files: int | None = None, block_ids: i
             yield row()
 
     # Equal ids may be very many: a digest of the content spreads them over neighbouring files.
-    ordered = tokens.withColumn("tie", F.xxhash64("ids")).repartitionByRange(files, "id", "tie").sortWithinPartitions("id", "tie").select("id", "ids")
+    ordered = tokens.where("counts IS NULL").select("id", "ids").withColumn("tie", F.xxhash64("ids")).repartitionByRange(files, "id", "tie").sortWithinPartitions("id", "tie").select("id", "ids")
     ordered.mapInArrow(run, "file int, block int, first long, n_ids long, n_docs long, payload binary").write.parquet(f"{path}/blocks.parquet")
 
 
