@@ -53,10 +53,11 @@ def _power(n: int) -> np.uint64:
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A hash of the GRAM bytes from each place on."""
-    h = {1: _TABLE[data]}
-    for n in (1, 2, 4, 8):
-        h[2 * n] = h[n][:-n] * _power(n) + h[n][n:]
-    out = h[16][: len(data) - GRAM + 1] * _power(8) + h[8][16 : len(data) - GRAM + 17]
+    h = _TABLE[data]
+    for n in (1, 2, 4):
+        h = h[:-n] * _power(n) + h[n:]
+    both = h[:-8] * _power(8) + h[8:]
+    out = both[: len(data) - GRAM + 1] * _power(8) + h[16 : len(data) - GRAM + 17]
     out ^= out >> np.uint64(32)
     out *= np.uint64(0xD6E8FEB86659FD93)
     return out ^ (out >> np.uint64(32))
@@ -96,7 +97,7 @@ def entries(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 #: The bytes that are looked at in one go; longer texts are cut into overlapping parts.
-PART_BYTES = 4_000_000
+PART_BYTES = 1_500_000
 
 
 def parts(raw: bytes, most: int = PART_BYTES) -> list[tuple[int, bytes]]:
