@@ -7,15 +7,18 @@ densification). Bands of ``rows`` bins make buckets. Documents of equal sets are
 start, so copies never meet in a bucket.
 
 Candidate pairs are stars: in each bucket its centre, the member that meets most others in all its
-buckets, against the other members. Each pair is confirmed on the full sets. That leaves pairs of
-members that aren't connected yet. What both share lies inside the centre's set or outside: inside
-it is bounded by what each shares with the centre, so such a pair must share a shingle outside, or
-both lie almost wholly inside. Members that share a shingle outside make the buckets of the next
-round, and so do those almost wholly inside. There, members of different components are compared
-directly in buckets of up to ``FEW`` members, and larger ones have centres again, until no bucket
-has members of different components. So no pair that shares a bucket is lost, no bucket is capped,
-pairs stay in proportion to members, and a hot bucket is never compared all against all. At a
-similarity of 0.8, 100 bands of 8 rows miss a pair with probability 1e-8.
+buckets, against the other members; pairs of one centre are dealt over tasks by the size of their
+sets. Each pair is confirmed on the full sets, and linked ones make components.
+
+That leaves pairs of members that two stars' ends make. Any two that share a bucket share its
+centre, so they meet in that centre's star. A pair of one component adds nothing; of any other pair
+at least one lies outside the largest component of the star. Those, the star's outsiders, are
+compared with its other members in tiles of about ``TILE`` shingles, so no group has to fit a task:
+within a tile what can't reach the similarity by its size, or by how many of its shingles the tile
+has at all, goes first, and the rest is one matrix product. Only links leave a tile, one for each
+outsider and component. So two passes settle every pair that shares a bucket, whatever the size of
+the groups; no bucket is capped and no pairs are listed. At a similarity of 0.8, 100 bands of 8 rows
+miss a pair with probability 1e-8.
 
 Null and word-less texts have the empty set and are linked with nothing; texts of fewer words than
 a shingle are one shingle; rows that repeat an id are one node; rows with a null id are linked
@@ -28,19 +31,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import Scratch, slices
+from tabulon.llm.common import Scratch, released, slices
 from tabulon.llm.graph import components
 
 BANDS, ROWS = 100, 8
 #: Bins that an empty one looks at before it looks at all.
 TRIES = 32
-#: Members of a later round's bucket up to which those of different components are compared directly.
-FEW = 128
+#: Shingles of either side of a tile, about; and cells of a matrix that counts shared ones.
+TILE, CELLS = 400_000, 4_000_000
 #: Words that a worker keeps the hashes of; about 150 bytes each.
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 200_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -124,11 +127,12 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 def sketches(rows: DataFrame, shingle: int, bands: int, rows_: int) -> DataFrame:
     """rows (id, text): id, n (size of the set), key (of the whole set), buckets."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         shingler, sketcher = Shingler(shingle), Sketcher(bands, rows_)
-        for batch in slices(batches, most=4_000_000):
+        for batch in slices(batches):
             n, key, buckets = [], [], []
             for t in batch.column("text").to_pylist():
                 s = shingler(t)
@@ -143,56 +147,167 @@ def sketches(rows: DataFrame, shingle: int, bands: int, rows_: int) -> DataFrame
 def full_sets(rows: DataFrame, shingle: int) -> DataFrame:
     """rows (id, text): id, shingles array<long>."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
-        for batch in slices(batches, most=4_000_000):
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id"), _lists([shingler(t) for t in batch.column("text").to_pylist()])], names=["id", "shingles"])
 
     return rows.mapInArrow(run, "id long, shingles array<long>")
 
 
-def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b): a, b, n (size of b's set), shared, linked, and rest: of b's shingles outside a's set, in one fixed order, as many as it takes to meet any set that is similar to b and shares so many of them."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("sb").alias("n"), F.size("sa").alias("m"), F.size(F.array_intersect("sa", "sb")).alias("shared"), F.array_except("sb", "sa").alias("rest"))
-    # similar sets share percent of the larger; of that, at most ``shared`` lies inside a's set
-    outside = F.greatest(F.lit(1), F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") - F.col("shared"))
-    linked = 100 * F.col("shared") >= percent * (F.col("n") + F.col("m") - F.col("shared"))
-    return both.select("a", "b", "n", "shared", linked.alias("linked"), F.slice("rest", F.lit(1), F.greatest(F.lit(0), F.size("rest") - outside + 1)).alias("rest"))
-
-
-def _next_buckets(groups: DataFrame, percent: int) -> DataFrame:
-    """groups (a, b, n, shared, rest, ca, component): members b of the centre a. (bucket, rep, n, component): what could still link."""
-    mixed = groups.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("a")
-    g = groups.join(mixed, "a", "left_semi")
-    outside = g.select("a", "b", "n", "component", F.explode("rest").alias("r")).select(F.xxhash64("a", "r").alias("bucket"), F.col("b").alias("rep"), "n", "component")
-    # Almost wholly inside the centre, but not linked with it; and those linked with it that could link to one of these.
-    apart = (F.col("component") != F.col("ca")) & (100 * F.col("shared") >= percent * F.col("n"))
-    best = g.where(apart).groupBy("a").agg(F.max((100 + percent) * F.col("shared") - percent * F.col("n")).alias("most"), F.min("n").alias("least"))
-    near = (percent * F.col("n") <= F.col("most")) & ((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("least")))
-    inside = g.join(best, "a").where(apart | ((F.col("component") == F.col("ca")) & near)).select(F.xxhash64("a", F.lit("inside")).alias("bucket"), F.col("b").alias("rep"), "n", "component")
-    return outside.unionByName(inside).distinct()
-
-
-def _open(members: DataFrame) -> DataFrame:
-    """(bucket, size) of buckets with members of different components; of those with the same members, one."""
-    sums = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("xor"))
-    return sums.where("low != high").groupBy("size", "sum", "xor").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
+def _dense(values: np.ndarray, of: np.ndarray, n: int, low: int, width: int) -> np.ndarray:
+    """values: columns, of: their rows. The 0/1 matrix of columns low to low + width."""
+    out = np.zeros((n, width), np.float32)
+    some = (values >= low) & (values < low + width)
+    out[of[some], values[some] - low] = 1
+    return out
+
+
+def similar(q: list[np.ndarray], m: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in q, in m) of similar sets of sorted shingles, a block of q's at a time."""
+    size_q, size_m = np.array([len(x) for x in q], np.int64), np.array([len(x) for x in m], np.int64)
+    if len(q) == 1:
+        ends = np.cumsum(size_m)
+        flat, s = np.concatenate(m), q[0]
+        shared = np.add.reduceat(s[np.minimum(np.searchsorted(s, flat), len(s) - 1)] == flat, ends - size_m, dtype=np.int64)
+        hit = np.flatnonzero(100 * shared >= percent * (size_q[0] + size_m - shared))
+        yield np.zeros(len(hit), np.int64), hit
+        return
+    # Columns are the shingles that both sides have. A set that lacks too many of them for any partner of its size goes, which takes more columns away.
+    at_q, at_m = np.argsort(size_q, kind="stable"), np.argsort(size_m, kind="stable")
+    while len(at_q) and len(at_m):
+        flat_q, flat_m = np.concatenate([q[i] for i in at_q]), np.concatenate([m[i] for i in at_m])
+        of_q, of_m = np.repeat(np.arange(len(at_q)), size_q[at_q]), np.repeat(np.arange(len(at_m)), size_m[at_m])
+        columns = np.intersect1d(flat_q, flat_m)
+        if not len(columns):
+            return
+        keep = []
+        for flat, of, size, other in ((flat_q, of_q, size_q[at_q], size_m[at_m]), (flat_m, of_m, size_m[at_m], size_q[at_q])):
+            n = np.bincount(of, columns[np.minimum(np.searchsorted(columns, flat), len(columns) - 1)] == flat, len(size))
+            least = np.searchsorted(other, -(-percent * size // 100))
+            keep.append((least < len(other)) & ((100 + percent) * n >= percent * (size + other[np.minimum(least, len(other) - 1)])))
+        if keep[0].all() and keep[1].all():
+            break
+        at_q, at_m = at_q[keep[0]], at_m[keep[1]]
+    else:
+        return
+    found = []
+    for flat, of in ((flat_q, of_q), (flat_m, of_m)):
+        place = np.minimum(np.searchsorted(columns, flat), len(columns) - 1)
+        same = columns[place] == flat
+        found.append((place[same], of[same]))
+    (col_q, of_q), (col_m, of_m) = found
+    size_q, size_m, step = size_q[at_q], size_m[at_m], 256
+    begin_q, begin_m = np.searchsorted(of_q, np.arange(len(at_q) + 1)), np.searchsorted(of_m, np.arange(len(at_m) + 1))
+    for k in range(0, len(at_q), step):
+        end = min(k + step, len(at_q))
+        low, high = np.searchsorted(size_m, -(-percent * size_q[k] // 100)), np.searchsorted(size_m, 100 * size_q[end - 1] // percent, side="right")
+        if low >= high:
+            continue
+        cq, rq = col_q[begin_q[k] : begin_q[end]], of_q[begin_q[k] : begin_q[end]] - k
+        cm, rm = col_m[begin_m[low] : begin_m[high]], of_m[begin_m[low] : begin_m[high]] - low
+        used, cq = np.unique(cq, return_inverse=True)
+        place = np.minimum(np.searchsorted(used, cm), len(used) - 1)
+        same = used[place] == cm
+        cm, rm = place[same], rm[same]
+        shared = np.zeros((end - k, high - low), np.float32)
+        width = max(1, CELLS // max(high - low, end - k))
+        for c in range(0, len(used), width):
+            shared += _dense(cq, rq, end - k, c, width) @ _dense(cm, rm, high - low, c, width).T
+        total = size_q[k:end, None] + size_m[None, low:high]
+        a, b = np.nonzero((100 + percent) * shared.astype(np.int64) >= percent * total)
+        yield at_q[a + k], at_m[b + low]
+
+
+def _tile_links(percent: int):
+    """Rows (star, i, j, asks, id, component, shingles) in order of the first three: links (a, b) between those that ask and those that don't, one for each asker and other component."""
+
+    def links(ids, of, asks, sets):
+        q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
+        q, m = q[[len(sets[i]) > 0 for i in q]], m[[len(sets[i]) > 0 for i in m]]
+        if not len(q) or not len(m):
+            return np.zeros((0, 2), np.int64)
+        out = [np.zeros((0, 2), np.int64)]
+        for x, y in similar([sets[i] for i in q], [sets[i] for i in m], percent):
+            x, y = q[x], m[y]
+            apart = of[x] != of[y]
+            x, y = x[apart], y[apart]
+            if len(x):
+                _, first = np.unique(np.stack([ids[x], of[y]], 1), axis=0, return_index=True)
+                out.append(np.stack([ids[x[first]], ids[y[first]]], 1))
+        return np.concatenate(out)
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def flush():
+            parts = list(zip(*held, strict=True))
+            pairs = links(*[np.concatenate(p) for p in parts[:3]], [s for p in parts[3] for s in p])
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("star", "i", "j")], 1).astype(np.int64)
+            ids, of, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "asks"))
+            column = batch.column("shingles")
+            flat, ends = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if now is not None and tuple(key[low]) != now:
+                    yield flush()
+                    held = []
+                now = tuple(key[low])
+                # A copy, as a tile may go on in the next batch.
+                held.append((ids[low:high], of[low:high], asks[low:high], np.split(flat[ends[low] : ends[high]].copy(), (ends[low + 1 : high] - ends[low]).tolist())))
+        if held:
+            yield flush()
+
+    return run
+
+
+def _links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """rows (star, i, j, asks, id, component): links in each tile (star, i, j)."""
+    full = rows.join(sets, "id").select("star", "i", "j", "asks", "id", "component", "shingles")
+    return full.repartition("star", "i", "j").sortWithinPartitions("star", "i", "j").mapInArrow(_tile_links(percent), "a long, b long").distinct()
+
+
+def _tiles(shingles: Column) -> Column:
+    return F.ceil(shingles / TILE).cast("int")
+
+
+def centre_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """stars (a, b, n: size of b's set): the pairs that are similar."""
+    total = stars.groupBy("a").agg(_tiles(F.sum("n")).alias("tiles"))
+    ends = stars.join(total, "a").select(F.col("a").alias("star"), F.lit(0).alias("i"), F.pmod(F.xxhash64("b"), "tiles").cast("int").alias("j"), F.lit(False).alias("asks"), F.col("b").alias("id"), F.col("b").alias("component"))
+    centres = total.select(F.col("a").alias("star"), F.lit(0).alias("i"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("j"), F.lit(True).alias("asks"), F.col("a").alias("id"), F.col("a").alias("component"))
+    return _links(ends.unionByName(centres), sets, percent)
+
+
+def outsider_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """stars (a, b, n, component: of b): links between ends of a star that lie in different components."""
+    parts = stars.groupBy("a", "component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("n"))
+    largest = F.max(F.struct("members", (-F.col("component")).alias("component"), "n")).alias("most")
+    mixed = parts.groupBy("a").agg(largest, F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed = mixed.select("a", (-F.col("most.component")).alias("main"), _tiles(F.col("n")).alias("across"), _tiles(F.col("n") - F.col("most.n")).alias("down"))
+    both = stars.join(mixed, "a").withColumn("outside", F.col("component") != F.col("main"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = lambda n: F.array(F.pmod(F.xxhash64("b"), n).cast("int"))
+    place = lambda i, j, asks: F.struct(i.alias("i"), j.alias("j"), F.lit(asks).alias("asks"))
+    # An outsider asks in its row of tiles; all members answer in their column.
+    asked = F.when(F.col("outside"), F.transform(every("across"), lambda j: place(F.element_at(own("down"), 1), j, True))).otherwise(F.array())
+    answers = F.transform(every("down"), lambda i: place(i, F.element_at(own("across"), 1), False))
+    rows = both.select(F.col("a").alias("star"), F.col("b").alias("id"), "component", F.explode(F.concat(answers, asked)).alias("t"))
+    return _links(rows.select("star", "t.i", "t.j", "t.asks", "id", "component"), sets, percent)
 
 
 def _stars(members: DataFrame, weight: DataFrame) -> DataFrame:
-    """members (bucket, rep): distinct (a, b), each bucket's centre and its other members."""
+    """members (bucket, rep, n): distinct (a, b, n), each bucket's centre and its other members."""
     weighed = members.select("bucket", "rep").join(weight, "rep")
     centres = weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("c")).select("bucket", (-F.col("c.rep")).alias("a"))
-    return members.join(centres, "bucket").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
-
-
-def _direct(members: DataFrame, percent: int) -> DataFrame:
-    """members of small buckets: distinct (a, b) of different components whose sizes allow a link."""
-    left = members.select("bucket", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("component").alias("ca"))
-    both = members.join(left, "bucket").where((F.col("a") < F.col("rep")) & (F.col("ca") != F.col("component")) & (percent * F.greatest("n", "m") <= 100 * F.least("n", "m")))
-    return both.select("a", F.col("rep").alias("b")).distinct()
+    return members.join(centres, "bucket").where("rep != a").select("a", F.col("rep").alias("b"), "n").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,38 +318,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     nodes = every.where("id IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
 
     # Buckets of one member are no use.
-    dealt = nodes.select("rep", F.explode("buckets").alias("bucket"))
+    dealt = nodes.select("rep", "n", F.explode("buckets").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     live = scratch.save(dealt.join(shared, "bucket"), "live")
     weight = scratch.save(live.groupBy("rep").agg(F.sum("size").alias("weight")), "weight")
-    star, direct = scratch.save(_stars(live, weight), "stars-0"), None
-    wanted = star.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    stars = scratch.save(_stars(live, weight), "stars")
+    wanted = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = scratch.save(full_sets(texts.join(wanted, "id", "left_semi"), shingle), "sets")
-    known, label, k = None, None, 0
-    while True:
-        new = star if known is None else star.unionByName(direct).distinct().join(known, ["a", "b"], "left_anti")
-        found = scratch.save(compare(new, sets, percent), f"compared-{k}")
-        known = found if known is None else known.unionByName(found)
-        links = found.where("linked").select("a", "b")
-        if label is None:
-            label = scratch.save(components(links, scratch, f"component-{k}"), f"label-{k}")
-        else:  # components only grow: the new links join those there are
-            of = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-            between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-            joined = scratch.save(components(between, scratch, f"component-{k}"), f"joined-{k}").select(F.col("node").alias("component"), F.col("component").alias("into"))
-            old = label.join(joined, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
-            own = joined.select(F.col("component").alias("node"), F.col("into").alias("component"))
-            label = scratch.save(old.unionByName(own).distinct(), f"label-{k}")
-        groups = found if k == 0 else known.join(star, ["a", "b"], "left_semi")
-        of_a, of_b = label.select(F.col("node").alias("a"), F.col("component").alias("ca")), label.select(F.col("node").alias("b"), "component")
-        groups = groups.join(of_a, "a", "left").join(of_b, "b", "left").withColumn("ca", F.coalesce("ca", "a")).withColumn("component", F.coalesce("component", "b"))
-        members = scratch.save(_next_buckets(groups, percent), f"members-{k}")
-        k += 1
-        members = scratch.save(members.join(_open(members), "bucket"), f"open-{k}")
-        if members.isEmpty():
-            break
-        direct = _direct(members.where(F.col("size") <= FEW), percent)
-        star = scratch.save(_stars(members.where(F.col("size") > FEW), weight), f"stars-{k}")
+
+    links = scratch.save(centre_links(stars, sets, percent), "links")
+    label = scratch.save(components(links, scratch, "component"), "label")
+    of = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    known = stars.join(of("b"), "b", "left").select("a", "b", "n", F.coalesce("cb", "b").alias("component"))
+    more = scratch.save(outsider_links(known, sets, percent), "more")
+    between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = scratch.save(components(between, scratch, "between"), "joined").select(F.col("node").alias("component"), F.col("component").alias("into"))
+    old = label.join(joined, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    own = joined.select(F.col("component").alias("node"), F.col("into").alias("component"))
+    label = scratch.save(old.unionByName(own).distinct(), "labels")
 
     of_key = nodes.select("key", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("found"))
     component = F.when(F.col("id").isNotNull(), F.least(F.coalesce("found", "id"), "id"))
