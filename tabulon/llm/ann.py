@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import Scratch
+from tabulon.llm.common import Scratch, released
 
 #: Links of a node (twice that in the lowest layer), breadth while building and searching.
 M, EF_BUILD, EF_SEARCH = 16, 80, 128
@@ -172,6 +172,7 @@ GRAPH = "dim int, shard int, part int, members array<array<long>>, vectors binar
 
 
 def _build(k: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list[tuple[np.ndarray, list]]] = {}
         for batch in batches:
@@ -195,6 +196,7 @@ def _build(k: int):
 
 
 def _search(k: int, ef: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, at, g, x, members = [], None, None, None, []
         for batch in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import Scratch, slices
+from tabulon.llm.common import Scratch, released, slices
 
 WINDOW = 13
 #: Bytes of item texts that one automaton is built from (about 100 times that in memory); more items are taken in blocks of this size, one scan each.
@@ -94,6 +94,7 @@ def offsets(raw: bytes, spans: list[tuple[int, int]]) -> list[dict]:
 
 
 def _scanner(patterns: dict[bytes, list[str]], first: bool, schema: pa.Schema):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton(patterns)
         for batch in slices(batches):

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import slices
+from tabulon.llm.common import released, slices
 
 UNKNOWN = "und"
 MARK = "▁"
@@ -250,9 +250,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in slices(batches, most=4_000_000):
+        for batch in slices(batches):
             found = scorer.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["row", "lang_pred", "score"])
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import slices
+from tabulon.llm.common import released, slices
 
 BLANKS = " \t\r"
 WINDOW = 3
@@ -68,6 +68,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     both = rows.join(cuts, rows["id"].eqNullSafe(cuts["id2"]) & (rows["h"] == cuts["h2"]), "left").select("rest", "id", "text", "cuts")
     schema = T.StructType([*both.schema.fields[:3], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             text, n, gone = [], [], []

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import Scratch, slices
+from tabulon.llm.common import Scratch, released, slices
 
 LENGTH, GRAM = 100, 24
 #: Batches that a table is taken in, and entries of one anchor that are compared in one run.
@@ -105,6 +105,7 @@ def parts(raw: bytes, most: int = PART_BYTES) -> list[tuple[int, bytes]]:
     return [(a, raw[a : a + most + LENGTH - 1]) for a in range(0, max(1, len(raw) - LENGTH + 1), most)]
 
 
+@released
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(held):
         of, a, n, off, h, c = entries([t for _, _, _, t in held])
@@ -175,6 +176,7 @@ class Family:
         return out
 
 
+@released
 def _with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes that entries span, of the documents that have such entries."""
     for batch in slices(batches, most=1_000_000):
@@ -199,6 +201,7 @@ def _runs(flags: list[bool]) -> Iterator[tuple[int, int]]:
         at = end
 
 
+@released
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of run, then of place: the strings that an earlier entry of the same run has, and, where an anchor has several runs, the digests of the others."""
     import xxhash
@@ -250,6 +253,7 @@ def merge_spans(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+@released
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         n_bytes, spans, kept = [], [], []

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import Scratch, slices
+from tabulon.llm.common import Scratch, released, slices
 
 VERSION, LANES, CHECK_STEPS, BLOCK_IDS = 1, 1024, 128, 1 << 18
 #: Frequencies add up to 2 to this power; states lie in [LOW, 2**63).
@@ -138,9 +138,10 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id"
     """id, ids binary (16-bit little-endian, the end id appended), counts null; and last in each partition a row with nothing but counts: its symbols and how often each occurs, as 64-bit integers."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end, total = codec(path), struct.pack("<H", end_id), np.zeros(1 << 16, np.int64)
-        for batch in slices(batches, most=4_000_000):
+        for batch in slices(batches):
             ids = coder.encode([t or "" for t in batch.column("text").to_pylist()])
             total += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=1 << 16)
             total[end_id] += len(ids)
@@ -154,6 +155,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id"
 def count_ids(tokens: DataFrame) -> np.ndarray:
     """How often each id occurs, over all rows: 65,536 counts at most come to the driver."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
@@ -265,6 +267,7 @@ def write(tokens: DataFrame, path: str, n_files: int | None = None, block_ids: i
     spark.createDataFrame([(i, int(f)) for i, f in enumerate(freq.tolist()) if f], "symbol int, freq int").coalesce(1).write.parquet(f"{path}/table.parquet")
     files = n_files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) * 2 // FILE_BYTES)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -303,6 +306,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         base += n
     rows = blocks.join(spark.createDataFrame(bases, "file int, base long"), "file").select((F.col("base") + F.col("first")).alias("start"), "payload")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(freq)
         for batch in batches:
