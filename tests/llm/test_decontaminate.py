@@ -32,7 +32,7 @@ def brute(text, items, window=13):
 def test_scan_is_brute_force(doc, items):
     text, items = "".join(doc), [(i, "".join(x)) for i, x in enumerate(items)]
     w = d.words(text)
-    spans, found = d.scan(d.automaton(d.windows(items, 3)), f" {b' '.join(w).decode('latin-1')} ") if w and d.windows(items, 3) else ([], set())
+    spans, found = d.Matcher([(str(i), t) for i, t in items], 3).scan(w)
     n, hit, ids = brute(text, items, 3)
     assert n == len(w) and sorted(found) == ids
     assert {i for a, b in spans for i in range(a, b)} == hit
@@ -46,8 +46,8 @@ def test_blocks_nulls_repeats_and_clashing_names(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int, items string")
     items = [(7, long), (7, long), (8, "short ITEM"), (9, None), (10, "...")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (d.BLOCK_BYTES, 30):
-        got = sorted(tuple(r) for r in d.scan_documents(docs, bench, block_bytes=block).collect())
+    for block, at_once in ((d.BLOCK_BYTES, d.PASS_BYTES), (30, d.PASS_BYTES), (30, 60)):
+        got = sorted(tuple(r) for r in d.scan_documents(docs, bench, block_bytes=block, pass_bytes=at_once).collect())
         assert [r[0] for r in got] == [1, 2, 2, 3, 4, 5]
         for r in got:
             n, hit, ids = brute(next(x[1] for x in rows if x[0] == r[0]) if r[0] != 5 else "", items)
@@ -56,6 +56,14 @@ def test_blocks_nulls_repeats_and_clashing_names(spark):
     assert d.scan_documents(docs, bench.limit(0)).where("size(items) > 0").count() == 0
 
 
+def test_items_without_ids_and_many_with_one_text(spark):
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "two"), (4, "three")], "item_id long, text string")
+    r = d.scan_documents(docs, bench).first()
+    assert [(s["first_word"], s["n_words"]) for s in r.spans] == [(1, 2)] and list(r["items"]) == ["4"]
+    assert d.Matcher([(str(i), "same words here") for i in range(20_000)]).scan(d.words("the same words here"))[0] == [(1, 4)]
+
+
 def test_query(spark):
     import duckdb
 
