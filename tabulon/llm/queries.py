@@ -30,7 +30,7 @@ def query(f):
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards by id; the law is `key`."""
     out = sharding.shard(table(spark, sf_dir, "documents"), 8)
-    return out.withColumn("law", F.lit("key")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot")
+    return out.withColumn("law", F.lit("key")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot", "slot_bytes", "shard_bytes")
 
 
 @query

@@ -1,11 +1,11 @@
 """Sharding over fixed virtual slots.
 
-Every record hashes into one of ``SLOTS`` virtual slots, a number that never changes. A
-versioned map gives each slot a shard. Going to another number of shards edits the map:
-the new shard takes an equal share of slots from the others and nothing else moves. The map
-for n shards is a pure function of n, so a record's shard depends on its id and on the shard
-count only. ``slot_bytes`` aggregates bytes per slot, and ``rebalance`` edits a map by those
-bytes where a balance of sizes is worth more than that law.
+Every record hashes into one of ``SLOTS`` virtual slots, a number that never changes. Rows and bytes
+are aggregated per slot. A versioned map, stored as a table, gives each slot a shard; it is never
+changed in place: rebalancing reads a version, edits it and stores the next one. For one more shard
+the edit takes an equal share of slots from the others and moves nothing else, and version n is a
+pure function of n, so a record's shard depends on its id and on the shard count only. ``rebalance``
+is the other edit: it evens out the slots' bytes, where that is worth more than this law.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabulon.llm.common import Scratch
+
 SLOTS = 8192
 #: Groups that a virtual slot's rows are numbered in, so that one id with very many rows is not one task.
 PARTS = 8
@@ -73,12 +75,6 @@ def virtual_slot(key: Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
 
 
-def map_table(spark: SparkSession, versions: list[int], slots: int = SLOTS) -> DataFrame:
-    """(version, virtual_slot, shard): the stored form of the map, ``slots`` rows a version."""
-    rows = [(v, slot, shard) for v in versions for slot, shard in enumerate(slot_map(v, slots))]
-    return spark.createDataFrame(rows, "version int, virtual_slot int, shard int")
-
-
 def store_map(spark: SparkSession, path: str, version: int, shard_of: list[int]) -> None:
     """Store a version of a map; versions are never overwritten, so old placements can be looked up."""
     rows = [(slot, shard) for slot, shard in enumerate(shard_of)]
@@ -92,41 +88,61 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> tupl
     return version, [r["shard"] for r in stored.where(F.col("version") == version).orderBy("virtual_slot").collect()]
 
 
+def stored_map(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """A stored version as it is: virtual_slot, shard."""
+    return spark.read.schema("virtual_slot int, shard int").parquet(f"{path}/version={version}")
+
+
 def slot_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """Rows and bytes of each virtual slot that has rows; at most ``slots`` rows."""
-    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
-    return docs.groupBy(virtual_slot(F.col(id_col), slots).alias("virtual_slot")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(size).alias("n_bytes"))
+    return docs.groupBy(virtual_slot(F.col(id_col), slots).alias("virtual_slot")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(size_of(F.col(text_col))).alias("n_bytes"))
+
+
+def size_of(text: Column) -> Column:
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
 def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """Shard and place of every row.
 
     Columns: the id, size, text_crc32, virtual_slot, shard, slot (place within the shard, without
-    gaps from 0), grown_shard (with one more shard).
+    gaps from 0), grown_shard (with one more shard), slot_bytes and shard_bytes (of the row's virtual
+    slot and of its shard). The map's version ``n_shards`` is stored, read back, edited for one more
+    shard and stored again; both shards come from the stored versions.
 
     Null ids share one virtual slot; a null text has size 1 and the crc of no bytes. Repeated rows
-    keep separate places. An empty table gives an empty result. Other columns are ignored.
+    keep separate places. An empty table gives an empty result. Other columns are ignored, whatever
+    their names.
 
     Only ids, sizes and checksums are shuffled, never texts. Places come from a count per
     (virtual slot, part): ``slots * PARTS`` rows at most, whatever the input, so joining those
     back by broadcast is bounded; rows are numbered within such a small group only.
     """
     spark = docs.sparkSession
-    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
+    path = f"{Scratch(spark, 'sharding').path}/map"
+    store_map(spark, path, n_shards, slot_map(n_shards, slots))
+    store_map(spark, path, n_shards + 1, grow(load_map(spark, path, n_shards)[1], n_shards))
+    both = stored_map(spark, path, n_shards).join(stored_map(spark, path, n_shards + 1).withColumnRenamed("shard", "grown_shard"), "virtual_slot")
     rows = docs.select(
         F.col(id_col).alias("id"),
-        size.alias("size"),
+        size_of(F.col(text_col)).alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
         virtual_slot(F.col(id_col), slots).alias("virtual_slot"),
     ).withColumn("part", F.pmod(F.xxhash64("text_crc32", "size"), F.lit(PARTS)).cast("int"))
-    now, then = map_table(spark, [n_shards], slots), map_table(spark, [n_shards + 1], slots)
-    both = now.drop("version").join(then.select("virtual_slot", F.col("shard").alias("grown_shard")), "virtual_slot")
-    counts = rows.groupBy("virtual_slot", "part").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy("virtual_slot", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     before = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.join(F.broadcast(both), "virtual_slot").withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    starts = counts.join(F.broadcast(both), "virtual_slot").select(
+        "virtual_slot",
+        "part",
+        "shard",
+        "grown_shard",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"),
+        F.sum("bytes").over(Window.partitionBy("virtual_slot")).alias("slot_bytes"),
+        F.sum("bytes").over(Window.partitionBy("shard")).alias("shard_bytes"),
+    )
     place = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("id", "text_crc32", "size"))
     return (
         rows.withColumn("place", place)
         .join(F.broadcast(starts), ["virtual_slot", "part"])
-        .select(F.col("id").alias(id_col), "size", "text_crc32", "virtual_slot", "shard", (F.col("start") + F.col("place") - 1).cast("long").alias("slot"), "grown_shard")
+        .select(F.col("id").alias(id_col), "size", "text_crc32", "virtual_slot", "shard", (F.col("start") + F.col("place") - 1).cast("long").alias("slot"), "grown_shard", "slot_bytes", "shard_bytes")
     )

@@ -50,3 +50,42 @@ def test_stored_versions(spark, tmp_path):
     assert s.load_map(spark, path, 1) == (1, old) and s.load_map(spark, path) == (2, s.slot_map(9))
     with pytest.raises(Exception, match="already exists|EXISTS"):
         s.store_map(spark, path, 2, old)
+
+
+def test_query_is_brute_force(spark):
+    import duckdb
+    import xxhash
+
+    from tabulon.llm.queries import QUERIES
+
+    def hashed(*values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True), seed)
+        return (seed - (1 << 64) if seed >> 63 else seed)
+
+    def shards(n):
+        """Slots dealt one shard at a time, each new one taking the last slot of whichever has most."""
+        own = [list(range(s.SLOTS))]
+        for k in range(1, n):
+            own.append([])
+            for _ in range(s.SLOTS // (k + 1)):
+                giver = max(range(k), key=lambda x: (len(own[x]), -x))
+                own[k].append(own[giver].pop())
+            own[k].sort()
+        return {slot: x for x, slots in enumerate(own) for slot in slots}
+
+    rows = duckdb.execute("select doc_id, text from '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    now, then = shards(8), shards(9)
+    want, size, order = {}, Counter(), []
+    for i, t in rows:
+        raw = (t or "").encode()
+        n, crc, slot = len(raw) + 1, zlib.crc32(raw), hashed(i) % s.SLOTS
+        size[slot] += n
+        order.append((now[slot], slot, hashed(crc, n) % s.PARTS, i, crc, n))
+    at = Counter()
+    for shard, slot, _, i, crc, n in sorted(order):
+        want[i] = (n, crc, "key", shard, at[shard], then[slot], slot, size[slot], sum(size[x] for x in size if now[x] == shard))
+        at[shard] += 1
+    got = {r.doc_id: (r["size"], r.text_crc32, r.law, r.shard, r.slot, r.grown_shard, r.virtual_slot, r.slot_bytes, r.shard_bytes) for r in QUERIES["op4_sharding"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == want and len(rows) == len(got)
