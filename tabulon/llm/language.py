@@ -6,16 +6,21 @@ is the product over its words. Pieces' probabilities are learned by expectation
 the distinct words of a bounded sample of labelled documents; a character outside every piece is
 one unknown piece.
 
-Texts are lower-cased; words are runs of letters and marks joined to them, a marker before each.
-Words longer than ``WORD`` characters are scored in parts of that length, so whole texts count
-whatever their form. Null texts and texts without a letter get ``und`` and score 0. Without any
-labelled rows all texts get ``und``. Equal languages' scores go to the first label in order.
-Repeated rows each give a row; extra columns are ignored.
+Texts are lower-cased; words are letters with the marks and letters that follow them, a marker
+before each. Pieces of any length count, and words of any length are scored in one go. Whole texts
+are scored; only the training sample takes a bounded window of each text, so a label with long texts
+alone is learned too.
+
+Null texts and texts without a letter get ``und`` and score 0. Without any labelled rows all texts
+get ``und``; an empty table gives an empty result. Equal languages' scores go to the first label in
+order. Repeated rows each give a row; all columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,25 +35,41 @@ from tabulon.llm.common import released, slices
 
 UNKNOWN = "und"
 MARK = "▁"
-#: Longest piece and longest word part, in characters.
-PIECE, WORD = 12, 32
-#: Training sample: so many documents of each label at most, those of smallest hash of text and id, none longer than so many bytes.
-SAMPLE_DOCS, SAMPLE_BYTES = 400, 32_768
+#: In training, words are taken in parts of so many characters at most; in scoring, longer ones are scaled on the way.
+PART = 48
+#: Training sample: so many documents of each label at most, those of smallest hash of text and id, and of each a window of so many characters, at a place that its hash gives.
+SAMPLE_DOCS, SAMPLE_CHARS = 400, 16_384
+#: Words times their longest that are scored at once.
+CELLS = 60_000
 ROUNDS, PRIOR = 3, 0.05
 #: Words that a worker keeps the scores of; about 200 bytes each.
-TABLE_ENTRIES = 300_000
+TABLE_ENTRIES = 200_000
 
-_WORDS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+@functools.cache
+def _patterns() -> tuple[re.Pattern, re.Pattern]:
+    """Any mark; and words where there are marks."""
+    marks = [c for c in range(0x300, 0x1F000) if unicodedata.category(chr(c))[0] == "M"]
+    marks = "".join(map(chr, marks))
+    return re.compile(f"[{marks}]"), re.compile(f"[^\\W\\d_](?:[^\\W\\d_]|[{marks}])*")
+
+
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
 def words(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
+    text = text.lower()
+    if text.isascii() or max(text) < "\u0300":  # before the first mark
+        return _LETTERS.findall(text)
+    mark, both = _patterns()
+    return (both if mark.search(text) else _LETTERS).findall(text)
 
 
 def parts(word: str) -> list[str]:
     word = MARK + word
-    return [word[k : k + WORD] for k in range(0, len(word), WORD)]
+    return [word[k : k + PART] for k in range(0, len(word), PART)]
 
 
 def vocabulary(model: str) -> list[str]:
@@ -57,14 +78,23 @@ def vocabulary(model: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)))
-    return sorted({p for p in pieces if len(p) <= PIECE and p == p.lower() and p.lstrip(MARK).isalpha() or p == MARK})
+    return sorted({p for p in pieces if p == MARK or p == p.lower() and p.lstrip(MARK) and all(unicodedata.category(c)[0] in "LM" for c in p.lstrip(MARK))})
+
+
+def blocks(order: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of words, sorted longest first, of about CELLS characters' room each."""
+    at = 0
+    while at < len(order):
+        n = max(1, CELLS // max(1, len(order[at])))
+        yield at, min(at + n, len(order))
+        at += n
 
 
 class Lattice:
     """The places of pieces in words."""
 
     def __init__(self, pieces: list[str]):
-        self.n = len(pieces)
+        self.n, self.longest = len(pieces), max(map(len, pieces), default=1)
         by_length: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             by_length.setdefault(len(p), []).append(i)
@@ -92,7 +122,7 @@ class Lattice:
         flat = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         inside = np.arange(width) < lengths[:, None]
         codes[inside] = flat + np.uint64(1)
-        ids = np.full((min(PIECE, width), len(part), width), self.n + 1, np.int32)
+        ids = np.full((min(self.longest, width), len(part), width), self.n + 1, np.int32)
         h = np.zeros_like(codes)
         for n in range(1, len(ids) + 1):
             h = h[:, : width - n + 1] * _BASE + codes[:, n - 1 :]
@@ -123,6 +153,31 @@ def forward(lengths: np.ndarray, ids: np.ndarray, p: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def log_forward(lengths: np.ndarray, ids: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over segmentations of whole words, of any length: what lies within reach of a piece is kept, and scaled on the way."""
+    width, reach = ids.shape[2], len(ids)
+    shape = (len(lengths), p.shape[1])
+    if width <= PART:  # nothing underflows
+        return np.log(np.maximum(forward(lengths, ids, p)[lengths, np.arange(len(lengths))], 1e-300))
+    near, scale, out = [np.ones(shape)], np.zeros(shape), np.zeros(shape)
+    for end in range(1, width + 1):
+        m = int(np.searchsorted(-lengths, -end, side="right"))  # words that long come first
+        now = np.zeros(shape)
+        for n in range(1, min(end, reach) + 1):
+            x = ids[n - 1, :m, end - n]
+            rows = np.flatnonzero(x <= len(p) - 2)
+            if len(rows):
+                now[rows] += near[-n][rows] * p[x[rows]]
+        near = [*near[1 - reach :], now] if reach > 1 else [now]
+        done = slice(int(np.searchsorted(-lengths, -end, side="left")), m)
+        out[done] = np.log(np.maximum(now[done], 1e-300)) + scale[done]
+        if end % 8 == 0:
+            most = np.maximum(np.max(near, axis=0), 1e-300)
+            scale[:m] += np.log(most[:m])
+            near = [x / most for x in near]
+    return out
+
+
 def expected(lengths: np.ndarray, ids: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected uses of each piece by each language; weight[word, language]."""
     alpha, width, rows_all = forward(lengths, ids, p), ids.shape[2], np.arange(len(lengths))
@@ -157,13 +212,13 @@ def train(counts: dict[str, Counter], pieces: list[str], rounds: int = ROUNDS) -
             for x in parts(w):
                 weights.setdefault(x, np.zeros(len(languages)))[k] += n
     order = sorted(weights, key=lambda w: (-len(w), w))
-    blocks = [(lattice.places(order[k : k + 4000]), np.array([weights[w] for w in order[k : k + 4000]])) for k in range(0, len(order), 4000)]
+    parted = [(lattice.places(order[a:b]), np.array([weights[w] for w in order[a:b]])) for a, b in blocks(order)]
     size = np.array([len(x) for x in pieces] + [1, 1], float)
     p = np.repeat((size * 1e-4)[:, None], len(languages), 1)  # longer pieces are tried first
     p[-2], p[-1] = 1e-6, 0
     p /= p.sum(0)
     for _ in range(rounds if languages else 0):
-        c = sum(expected(*places, p, w) for places, w in blocks)
+        c = sum(expected(*places, p, w) for places, w in parted)
         c[:-1] += PRIOR
         c[-1] = 0
         p = c / c.sum(0)
@@ -179,22 +234,15 @@ class Scorer:
 
     def _clear(self) -> None:
         self.row: dict[str, int] = {}
-        self.logp = np.zeros((0, len(self.model.languages)))
+        self.logp = np.zeros((1024, len(self.model.languages)))
 
     def score_words(self, new: list[str]) -> np.ndarray:
-        of, flat = [], []
-        for k, w in enumerate(new):
-            if any(map(str.isalpha, w)):
-                for x in parts(w):
-                    of.append(k)
-                    flat.append(x)
+        """Log probabilities; 0 for words without a letter."""
         out = np.zeros((len(new), len(self.model.languages)))
-        order = sorted(range(len(flat)), key=lambda i: -len(flat[i]))
-        for k in range(0, len(order), 4000):
-            some = order[k : k + 4000]
-            lengths, ids = self.lattice.places([flat[i] for i in some])
-            alpha = forward(lengths, ids, self.model.p)
-            np.add.at(out, [of[i] for i in some], np.log(np.maximum(alpha[lengths, np.arange(len(some))], 1e-300)))
+        order = sorted((k for k, w in enumerate(new) if any(map(str.isalpha, w))), key=lambda k: -len(new[k]))
+        marked = [MARK + new[k] for k in order]
+        for a, b in blocks(marked):
+            out[order[a:b]] = log_forward(*self.lattice.places(marked[a:b]), self.model.p)
         return out
 
     def learn(self, seen: set[str]) -> None:
@@ -204,8 +252,10 @@ class Scorer:
             new = list(seen)
         if new:
             at = len(self.row)
+            if at + len(new) > len(self.logp):
+                self.logp = np.concatenate([self.logp[:at], np.zeros((max(at + len(new), 2 * len(self.logp)) - at, self.logp.shape[1]))])
             self.row.update((w, at + k) for k, w in enumerate(new))
-            self.logp = np.concatenate([self.logp, self.score_words(new)])
+            self.logp[at : at + len(new)] = self.score_words(new)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.model.languages:
@@ -224,12 +274,14 @@ class Scorer:
 
 
 def sample(docs: DataFrame, train_on: Column, id_col: str, text_col: str, label_col: str) -> dict[str, Counter]:
-    """Word counts of the training sample; ``SAMPLE_DOCS * SAMPLE_BYTES`` bytes a label at most come to the driver.
+    """Word counts of the training sample; ``SAMPLE_DOCS * SAMPLE_CHARS`` characters a label at most come to the driver.
 
     Labels are counted first, a row a label, so that only about four times the sample is shuffled.
     """
-    rows = docs.where(train_on & F.col(label_col).isNotNull() & (F.octet_length(text_col) <= SAMPLE_BYTES)).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
-    rows = rows.withColumn("u", F.pmod("h", F.lit(1 << 30)))
+    rows = docs.where(train_on & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
+    # A window at a place of its own, all of a shorter text.
+    start = F.pmod("h", F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int") + 1
+    rows = rows.withColumn("u", F.pmod("h", F.lit(1 << 30))).withColumn("text", F.substring("text", start, F.lit(SAMPLE_CHARS)))
     few = F.lit(False)
     for label, n in rows.groupBy("label").count().collect():
         few = few | ((F.col("label") == label) & (F.col("u") < -(-(1 << 32) * SAMPLE_DOCS // n)))
