@@ -5,16 +5,13 @@ Two layers over every whole text:
 * Base patterns, leftmost and non-overlapping per kind: ``assign`` (a sensitive name, ``:`` or
   ``=``, and a value of 8 or more characters), ``access`` (``AKIA`` and 16 or more characters in
   all), ``hex`` (32 or more characters). Failing matches still use up their text.
-* Lexed assignments: source and configuration syntax (``name = "x"``, ``name: x``, ``"name": "x"``,
-  ``export NAME=x``, ``name := x``, ``<name>x</name>``, ``name => x``, adjacent or ``+``-joined
-  literals, names of constants that were given a literal earlier in the text) becomes pairs of a
-  name and its literals. Constants are propagated in text order: a name assigned to a sensitive
-  target makes its literals suspect. A literal's score adds how sensitive its target's name is to
-  how much the literal looks like a key; from ``THRESHOLD`` on it is a span of kind ``literal``.
+* Lexed assignments (``llm/lexing.py``): names and the literals that they are given, constants
+  followed. A literal's score adds how sensitive its target's name is to how much the literal looks
+  like a key; from ``THRESHOLD`` on it is a span of kind ``literal``.
 
 Spans are in code points, the end exclusive, sorted by start, then kind in the order assign,
 access, hex, literal. A literal that a base span covers isn't reported again. Null texts are
-empty; repeated rows each give a row; extra columns are ignored.
+empty; repeated rows each give a row; extra columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import released, slices
+from tabulon.llm.lexing import lex
 
 KINDS = ("assign", "access", "hex", "literal")
 THRESHOLD = 2.0
@@ -50,18 +48,9 @@ SENSITIVE = {
 }
 HARMLESS = re.compile(r"(?i)^(?:(?:x|\*|\.|-|_|0)+|your.*|example.*|changeme|change_me|placeholder|none|null|nil|true|false|undefined|default|todo|<.*>|\$\{.*\}|%.*%|\{\{.*\}\}|https?://\S*|password|secret|token)$")
 
-_LITERAL = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
-_PLAIN = r"[A-Za-z0-9+/_.=~!@#$%^&*-]+"
-# From the start of a run and all of it, so that a very long run is looked at once.
-_NAME = r"(?<![A-Za-z0-9_.-])[A-Za-z_][A-Za-z0-9_.-]*+"
-PAIR = re.compile(
-    rf"""(?P<quote>["']?)(?P<name>{_NAME})(?P=quote)(?:\[["'](?P<item>{_NAME})["']\])?[ \t]*+(?:=>|:=|=|:)[ \t]*+(?P<value>{_LITERAL}(?:[ \t]*(?:\+[ \t]*)?{_LITERAL})*|{_PLAIN})"""
-    rf"""|<(?P<tag>{_NAME})>(?P<body>[^<>\n]+)</(?P=tag)>"""
-)
-_ONE = re.compile(_LITERAL)
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-#: A text without any of these has no pair.
-_SIGN = re.compile(r"[=:]|</")
+#: A text without any of these has no sensitive name.
+_SOME = re.compile("|".join(sorted({w[:3] for w in SENSITIVE})), re.I)
 
 
 def name_score(name: str) -> float:
@@ -88,34 +77,14 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(*m.span(), "hex") for m in HEX.finditer(text)]
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]], str | None]]:
-    """Name, places of its literals, and the bare name that it is set to, in text order."""
-    for m in PAIR.finditer(text):
-        if m["tag"]:
-            yield m["tag"], [m.span("body")], None
-            continue
-        name = f"{m['name']}.{m['item']}" if m["item"] else m["name"]
-        if m["value"][0] in "\"'":
-            at = m.start("value")
-            yield name, [(at + x.start() + 1, at + x.end() - 1) for x in _ONE.finditer(m["value"])], None
-        else:
-            bare = m["value"] if re.fullmatch(_NAME, m["value"]) else None
-            yield name, [m.span("value")], bare
-
-
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Literals that a sensitive name is given, directly or through constants."""
-    if not _SIGN.search(text):
+    if not _SOME.search(text):
         return []
-    constants: dict[str, list[tuple[int, int]]] = {}
     found: dict[tuple[int, int], float] = {}
-    for name, places, bare in pairs(text):
-        if bare in constants:
-            places = constants[bare]
-        constants[name] = places
+    for name, places in lex(text):
         if (score := name_score(name)) > 0:
-            value = "".join(text[a:b] for a, b in places)
-            score += literal_score(value)
+            score += literal_score("".join(text[a:b] for a, b in places))
             for p in places:
                 found[p] = max(score, found.get(p, 0.0))
     return [p for p, score in found.items() if score >= THRESHOLD and p[0] < p[1]]

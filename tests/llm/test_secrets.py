@@ -43,9 +43,76 @@ def test_lexing_names_constants_and_syntax():
     assert literals("The key: it is here. A token of love = thanks") == []
 
 
+KEY = "aZ9$kLmQ2wEr"
+
+
+def test_lexing_by_syntax():
+    assert literals(f"private_key = `{KEY}`") == [KEY]
+    assert literals(f"signing_key: |\n  {KEY}\n  bY8kLmQ2wEr7\nnext: {KEY}") == [KEY, "bY8kLmQ2wEr7"]
+    assert literals(f'client.setSigningKey("{KEY}")') == [KEY]
+    assert literals(f"signing_key = K\nK = '{KEY}'") == [KEY]
+    assert literals(f"function a() {{ K = '{KEY}' }}\nfunction b() {{ signing_key = K }}") == []
+    assert literals(f"K = 'nothing'\nfunction a() {{ K = '{KEY}'; signing_key = K }}") == [KEY]
+    assert literals(f'<add key="SigningKey" value="{KEY}"/><add key="title" value="{KEY}"/>') == [KEY]
+    assert literals(f"signing_key: str = (\n  'aZ9$k'\n  'LmQ2wEr7'\n)") == ["aZ9$k", "LmQ2wEr7"]
+    assert literals(f"# signing_key = '{KEY}'\nK = 1") == [KEY] and literals(f"# K = '{KEY}'\nsigning_key = K") == []
+    assert literals(f'url = "host=a;signing_key={KEY}"') == [KEY]
+    assert literals(f"it isn't signing_key = '{KEY}'") == [KEY]
+    assert literals(f"signing_key = load('{KEY}')") == [] and literals(f"signing_key == '{KEY}'") == []
+    assert literals('"signing_key": null, "auth": {"bearer_token_x": "short"}') == []
+
+
+def programs(rng):
+    """Text made of statements of known meaning, and the literals that must be found, as their texts."""
+    out, want, n = [], [], 0
+
+    def literal():
+        nonlocal n
+        n += 1
+        return f"q{n}Zk$9wLm{n * 7919 % 9973}"
+
+    def statement(name, sensitive):
+        value, constant = literal(), f"c{rng.randrange(10**6)}x{n}"
+        kind = rng.randrange(9)
+        if sensitive:
+            want.append(value)
+        return [
+            f'{name} = "{value}"',
+            f"{name}: '{value}'",
+            f'"{name}": "{value}",',
+            f"{name} := `{value}`",
+            f"{constant} = '{value}'\n{name} = {constant}",
+            f"{name} = {constant}\n{constant} = '{value}'",
+            f'{name}("{value}")',
+            f"<{name}>{value}</{name}>",
+            f"{name}: |\n    {value}\nend: 1",
+        ][kind]
+
+    for _ in range(rng.randint(1, 12)):
+        sensitive = rng.random() < 0.5
+        name = rng.choice(["signing_key", "dbPassphrase", "x.private_key", "CREDENTIAL"] if sensitive else ["title", "colour", "keyboard", "x.size", "MONKEY"])
+        x = statement(name, sensitive)
+        wrap = rng.randrange(5)
+        if wrap == 0:
+            x = f"/* {x} */" if "\n" not in x else x
+        elif wrap == 1:
+            x = f"f() {{\n{x}\n}}"
+        elif wrap == 2:
+            x = f"some words, don't mind.\n{x}"
+        out.append(x)
+    return "\n".join(out) + "\n", want
+
+
+def test_lexing_of_made_programs():
+    rng = random.Random(8)
+    for _ in range(2000):
+        text, want = programs(rng)
+        assert sorted(literals(text)) == sorted(want), text
+
+
 def test_long_runs_take_linear_time():
     began = time.time()
-    for text in ("a" * 300_000, "a=" * 100_000, '"' * 100_000, 'x = "a"' + " " * 200_000, "<a>" * 60_000, "password" * 30_000, "abc123" * 50_000, "token" + " " * 200_000):
+    for text in ("a" * 300_000, "a=" * 100_000, '"' * 100_000, 'x = "a"' + " " * 200_000, "<a>" * 60_000, "password" * 30_000, "abc123" * 50_000, "token" + " " * 200_000, "{" * 100_000 + "key = a;" * 100, "key: |\n" * 50_000, "`key " * 60_000, "/* key " * 40_000, '"""key ' * 40_000, "<!-- key " * 40_000, "(" * 100_000 + "key", "key('" * 40_000, "key = K\n" * 40_000, "'key' " * 50_000):
         s.spans(text)
     assert time.time() - began < 30
 
