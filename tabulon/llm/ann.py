@@ -9,7 +9,8 @@ Equal vectors are one node, which lists the smallest ids it stands for, as many
 need, so very many copies neither clog a graph nor hide each other. Null, zero and empty vectors,
 and such with null or non-finite components, take no part; vectors are compared with those of
 their own length; a row that repeats a query's id is not its candidate; an id that repeats with
-other vectors counts with its nearest one. Columns other than id and vector are ignored.
+other vectors counts with its nearest one. Without vectors or queries the result is empty. Columns
+other than id and vector are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -259,6 +260,9 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = 5, ef: int = EF_SEARC
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, ef: int = EF_SEARCH, shards: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Index and search."""
-    graphs = Scratch(vectors.sparkSession, "ann").save(index(vectors, k, shards, id_col, vector_col), "graphs")
-    return search(graphs, queries, k, ef, id_col, vector_col)
+    """Index and search; the graphs go when the result is saved."""
+    scratch = Scratch(vectors.sparkSession, "ann")
+    graphs = scratch.save(index(vectors, k, shards, id_col, vector_col), "graphs")
+    found = scratch.save(search(graphs, queries, k, ef, id_col, vector_col), "result")
+    scratch.keep("result")
+    return found

@@ -23,7 +23,8 @@ group has to fit a task, and what is repeated within a run stays there.
 
 Null texts are empty; texts shorter than ``LENGTH`` stay whole. Rows equal in id and text are one
 document to each other. Rows that repeat an id with other texts are ordered by their checksum; a
-null id comes before all others. Columns other than id and text are ignored.
+null id comes before all others. An empty table gives an empty result. Columns other than id and text
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -292,7 +293,8 @@ def dedup(docs: DataFrame, batches: int = BATCHES, many: int = MANY, id_col: str
     runs = later[0]
     for x in later[1:]:
         runs = runs.unionByName(x)
-    runs = runs.groupBy("id", "sub").agg(F.collect_set(F.struct("a", "n")).alias("runs"))
+    runs = scratch.save(runs.groupBy("id", "sub").agg(F.collect_set(F.struct("a", "n")).alias("runs")), "runs")
+    scratch.keep("runs")
     both = rows.join(runs, ["id", "sub"], "left").select("own", "text", "runs")
     out = both.mapInArrow(_cut, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return out.withColumnRenamed("id", id_col)
