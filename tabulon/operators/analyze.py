@@ -181,13 +181,13 @@ def _finished(groups: DataFrame, evidence: DataFrame | None, plan: Plan, inputs:
 def matched(sheet: Sheet, plan: Plan) -> DataFrame:
     """Rows that pass the filter; errors are not looked for."""
     df, _, term, _ = _prepared(sheet, plan)
-    return df if term is None else df.where(term.value)
+    return df if term is None else df.where(term.rows)
 
 
 def analyze_frame(sheet: Sheet, plan: Plan) -> DataFrame:
     """The result as a lazy DataFrame: group columns, aliases, source_rows, first_row. The group limit and cells' errors are not looked for: for sheets whose types rule errors out."""
     df, inputs, term, _ = _prepared(sheet, plan)
-    rows = df if term is None else df.where(term.value)
+    rows = df if term is None else df.where(term.rows)
     evidence = _evidence(rows, plan, inputs) if plan.evidence_rows else None
     return _finished(_grouped(rows, plan, inputs, []), evidence, plan, inputs)
 
@@ -210,7 +210,7 @@ def analyze(sheet: Sheet, plan: Plan) -> AnalysisResult:
     if at:
         metrics.append(F.min_by(at[0], F.when(term.error.isNotNull(), F.col(ROW))).alias("error"))
     rows = df.observe(seen, *metrics)
-    rows = rows if term is None else rows.where(term.value)
+    rows = rows if term is None else rows.where(term.rows)
     more = [F.count(F.lit(1)).alias("n_rows")]
     if errors:
         error = F.coalesce(*errors)
@@ -236,7 +236,7 @@ def analyze(sheet: Sheet, plan: Plan) -> AnalysisResult:
             raise GroupLimitError(f"more than {plan.max_groups} groups, at row {opened}")
     if first is not None:
         raise AnalysisError(sheet.name, first["column"], first["row"], first["message"])
-    plain = df if term is None else df.where(term.value)
+    plain = df if term is None else df.where(term.rows)
     evidence = _evidence(plain, plan, inputs) if plan.evidence_rows else None
     held = sheet.df.sparkSession.createDataFrame(top, groups.schema)
     returned = min(total["groups"], plan.limit) if plan.limit else total["groups"]

@@ -3,8 +3,9 @@
 Filters are two-valued and fail at the first offending cell in sheet order, where ``and`` and
 ``or`` decide what is looked at. Spark promises no order of evaluation, so every node becomes a
 pair of total expressions: its value, never null, and its error, null if there is none. Where the
-column's type rules an error out, the error is absent and the value is a plain predicate, which
-Catalyst pushes into the scan.
+column's type rules an error out, the error is absent. Beside them goes a plain form for selecting
+rows, where null counts as false: bare comparisons under ``and`` and ``or``, which Catalyst pushes
+into the scan.
 """
 
 from __future__ import annotations
@@ -56,6 +57,13 @@ class Input:
 class Term:
     value: Column
     error: Column | None = None
+    #: True where the value is, otherwise false or null.
+    plain: Column | None = None
+
+    @property
+    def rows(self) -> Column:
+        """What to select rows by."""
+        return self.value if self.plain is None else self.plain
 
 
 def fail(column: str, message: str | Column) -> Column:
@@ -82,9 +90,10 @@ def comparison(c: Input, op: str, x: Literal) -> Term:
         if x.type != "string":
             return Term(F.lit(False), fail(c.name, "contains needs a string to look for"))
         value = F.coalesce(F.when(c.has("string"), c.get("string").contains(x.value)), F.lit(False)) if "string" in c.kinds() else F.lit(False)
+        plain = c.column.contains(x.value) if c.kind == "string" else None
         bad = empty if c.kind == "string" else ~c.has("string") if not c.kind else F.lit(True)
-        return Term(value, F.when(bad, fail(c.name, "contains needs string cells")))
-    orders = op not in ("eq", "notEq")
+        return Term(value, F.when(bad, fail(c.name, "contains needs string cells")), plain)
+    plain, orders = None, op not in ("eq", "notEq")
     errors: list[tuple[Column, str]] = []
     if "error" in c.kinds():
         errors.append((c.has("error"), "an error cell can't be compared"))
@@ -113,6 +122,7 @@ def comparison(c: Input, op: str, x: Literal) -> Term:
             else:
                 value = tests[0][1] if tests else F.lit(False)
                 # a null comparison: the cell is empty, and differs from any value
+                plain = (empty | value if op == "notEq" else value) if tests else None
                 value = F.coalesce(value, F.lit(op == "notEq"))
         else:
             others = ~empty & ~c.has("error")
@@ -125,13 +135,13 @@ def comparison(c: Input, op: str, x: Literal) -> Term:
     out = None
     for bad, message in errors:
         out = F.when(bad, fail(c.name, message)) if out is None else out.when(bad, fail(c.name, message))
-    return Term(value, out)
+    return Term(value, out, plain)
 
 
 def compile_filter(x: Filter, inputs: dict[str, Input]) -> Term:
     if x.kind in ("and", "or"):
         both = x.kind == "and"
-        value, error = F.lit(both), None
+        value, error, plain = F.lit(both), None, None
         for k, part in enumerate(x.expressions):
             t = compile_filter(part, inputs)
             if t.error is not None:
@@ -139,7 +149,8 @@ def compile_filter(x: Filter, inputs: dict[str, Input]) -> Term:
                 reached = t.error if k == 0 else F.when(value if both else ~value, t.error)
                 error = reached if error is None else F.coalesce(error, reached)
             value = t.value if k == 0 else value & t.value if both else value | t.value
-        return Term(value, error)
+            plain = t.rows if k == 0 else plain & t.rows if both else plain | t.rows
+        return Term(value, error, plain)
     if x.kind == "not":
         t = compile_filter(x.expressions[0], inputs)
         return Term(~t.value, t.error)

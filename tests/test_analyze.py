@@ -11,16 +11,17 @@ from pyspark.sql import types as T
 
 from tabulon.errors import AnalysisError, GroupLimitError, PlanError
 from tabulon.functions import cells as C
-from tabulon.operators.analyze import CLASSES, analyze, analyze_frame
+from tabulon.operators.analyze import CLASSES, analyze, analyze_frame, matched
 from tabulon.operators.relation import Sheet, from_dataframe
 from tabulon.plans import model as M
 
-SALES = [("Hardware", "East", True, 10), ("Hardware", "East", True, 12.5), ("Software", "West", False, 40), ("Software", "West", True, 20), ("Hardware", "West", True, None)]
+FLEET = [("van", "north", True, 4), ("van", "north", True, 6.5), ("bus", "south", False, 9), ("van", "south", True, None), ("bus", "south", True, 30), ("tram", "east", True, 1)]
+FLEET_COLUMNS = ["kind", "depot", "runs", "seats"]
 
 
 def cell_sheet(spark, names, rows, first=2):
     schema = T.StructType([T.StructField("_row", T.LongType()), *[T.StructField(f"c{k}", C.CELL) for k in range(len(names))]])
-    return Sheet(spark.createDataFrame([(first + i, *map(C.of_python, r)) for i, r in enumerate(rows)], schema), tuple(names), "Sales")
+    return Sheet(spark.createDataFrame([(first + i, *map(C.of_python, r)) for i, r in enumerate(rows)], schema), tuple(names), "Fleet")
 
 
 def kind_of(v):
@@ -126,26 +127,60 @@ def same(a, b):
     return tidy(a[1]) == tidy(b[1]) and a[2:] == b[2:]
 
 
-PLAN = M.Plan(group_by=("Category", "Region"), filter=M.all_of(M.compare("Active", "eq", True), M.any_of(M.compare("Region", "eq", "East"), M.compare("Region", "eq", "West")))).select(
-    M.Aggregate("count", "rows"), M.Aggregate("count", "amounts", "Amount"), M.Aggregate("sum", "total", "Amount"), M.Aggregate("average", "mean", "Amount"), M.Aggregate("min", "low", "Amount"), M.Aggregate("max", "high", "Amount")
+PLAN = M.Plan(group_by=("kind", "depot"), filter=M.any_of(M.compare("kind", "eq", "ferry"), M.all_of(M.negate(M.compare("depot", "eq", "east")), M.compare("runs", "notEq", False)))).select(
+    M.Aggregate("max", "most", "seats"), M.Aggregate("min", "least", "seats"), M.Aggregate("average", "mean", "seats"), M.Aggregate("sum", "all_seats", "seats"), M.Aggregate("count", "known", "seats"), M.Aggregate("count", "n")
 )
 
 
 def test_golden_cells(spark):
-    r = analyze(cell_sheet(spark, ["Category", "Region", "Active", "Amount"], SALES), PLAN)
+    r = analyze(cell_sheet(spark, FLEET_COLUMNS, FLEET), PLAN)
     got = [tuple(C.to_python(v) if isinstance(v, T.Row) else v for v in x) for x in r.rows.collect()]
-    assert got == [("Hardware", "East", 2, 2, 22.5, 11.25, 10, 12.5, [2, 3]), ("Software", "West", 1, 1, 20, 20.0, 20, 20, [5]), ("Hardware", "West", 1, 0, None, None, None, None, [6])]
-    assert [type(x[4]) for x in got] == [float, int, type(None)] and type(got[0][6]) is int
-    assert (r.seen_rows, r.matched_rows, r.total_groups, r.returned_groups, r.truncated) == (5, 4, 3, 3, False)
+    assert got == [("van", "north", 6.5, 4, 5.25, 10.5, 2, 2, [2, 3]), ("van", "south", None, None, None, None, 0, 1, [5]), ("bus", "south", 30, 30, 30.0, 30, 1, 1, [6])]
+    assert [type(x[5]) for x in got] == [float, type(None), int] and type(got[0][3]) is int
+    assert (r.seen_rows, r.matched_rows, r.total_groups, r.returned_groups, r.truncated) == (6, 4, 3, 3, False)
 
 
 def test_golden_typed(spark):
-    df = spark.createDataFrame([(i, c, g, a, None if m is None else float(m)) for i, (c, g, a, m) in enumerate(SALES)], "n int, Category string, Region string, Active boolean, Amount double")
+    df = spark.createDataFrame([(i, c, g, a, None if m is None else float(m)) for i, (c, g, a, m) in enumerate(FLEET)], "n int, kind string, depot string, runs boolean, seats double")
     sheet = from_dataframe(df, F.col("n") + 2)
-    assert same(run(sheet, PLAN), interpret(["Category", "Region", "Active", "Amount"], SALES, PLAN))
+    assert same(run(sheet, PLAN), interpret(FLEET_COLUMNS, FLEET, PLAN))
     assert analyze_frame(sheet, PLAN).drop("first_row").collect() == analyze(sheet, PLAN).rows.collect()
 
 
+def test_filters_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([(1, "a", 1.5, dt.date(2020, 1, 2)), (2, None, None, None), (3, "abc", -2.0, dt.date(2021, 1, 2))], "n int, s string, x double, d date").write.parquet(f"{tmp_path}/t")
+    sheet = from_dataframe(spark.read.parquet(f"{tmp_path}/t"), F.col("n") + 1)
+    some = M.all_of(M.compare("n", "gt", 0), M.compare("s", "notEq", "x"))
+    for x, pushed in [
+        (M.compare("s", "eq", "a"), "EqualTo(s,a)"),
+        (M.compare("n", "lt", 3), "LessThan(n,3)"),
+        (M.compare("n", "le", 2.5), "LessThan"),
+        (M.compare("x", "gt", -3.0), "GreaterThan(x,-3.0)"),
+        (M.compare("x", "ge", 1), "GreaterThanOrEqual(x,1.0)"),
+        (M.compare("d", "lt", dt.date(2021, 1, 1)), "LessThan(d,2021-01-01)"),
+        (M.compare("s", "notEq", "a"), "Or(IsNull(s),Not(EqualTo(s,a)))"),
+        (M.compare("s", "contains", "b"), "StringContains(s,b)"),
+        (M.is_empty("s"), "IsNull(s)"),
+        (M.is_not_empty("s"), "IsNotNull(s)"),
+        (M.any_of(M.compare("s", "eq", "a"), M.all_of(M.compare("n", "eq", 3), some)), "Or(EqualTo(s,a)"),
+    ]:
+        kept = matched(sheet, M.Plan((M.Aggregate("count", "n"),), filter=x))
+        plan = kept._jdf.queryExecution().explainString(kept.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert pushed in plan.partition("PushedFilters: ")[2].splitlines()[0], (x, plan)
+        rows = [{"n": n, "s": s, "x": f, "d": d} for n, s, f, d in [(1, "a", 1.5, dt.date(2020, 1, 2)), (2, None, None, None), (3, "abc", -2.0, dt.date(2021, 1, 2))]]
+        assert [r[0] for r in kept.select("_row").orderBy("_row").collect()] == [r["n"] + 1 for r in rows if totally(x, r)]
+
+
+def totally(x, row):
+    """look, where what can't be compared counts as false."""
+    if x.kind in ("and", "or"):
+        return (all if x.kind == "and" else any)(totally(p, row) for p in x.expressions)
+    try:
+        return look(x, row)
+    except Bad:
+        return False
+
+
 VALUES = [None, "", "a", "ab", 0, 1, -1, 2.5, 1.0, True, dt.date(2020, 1, 2), dt.datetime(2020, 1, 2), dt.time(1, 2), dt.timedelta(hours=3), C.ErrorCell("#N/A")]
 cells = st.one_of(st.sampled_from(VALUES), st.sampled_from([None, "a", 1, 2.5]))
 literals = st.sampled_from([M.Literal.of(v) for v in VALUES if not isinstance(v, C.ErrorCell)])
