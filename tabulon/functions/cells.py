@@ -64,34 +64,40 @@ def native_kind(kind: T.DataType) -> str | None:
     raise TypeError(f"no kind of cell for {kind.simpleString()}")
 
 
+_PLACES = {n: k for k, n in enumerate(CELL.names)}
+
+
+def _cell(kind: str, field: str, v) -> tuple:
+    out = [None] * len(CELL.names)
+    out[0], out[_PLACES[field]] = kind, v
+    return tuple(out)
+
+
 def of_python(v) -> tuple | None:
     """A Python value as a cell's fields."""
     if v is None:
         return None
-    out: dict[str, object] = {}
     if isinstance(v, bool):
-        out = {"kind": "bool", "b": v}
-    elif isinstance(v, Duration):
-        out = {"kind": "duration", "dur": int(v)}
-    elif isinstance(v, dt.timedelta):
-        out = {"kind": "duration", "dur": v // dt.timedelta(microseconds=1)}
-    elif isinstance(v, int):
-        out = {"kind": "int", "i": v}
-    elif isinstance(v, float):
-        out = {"kind": "float", "f": v}
-    elif isinstance(v, ErrorCell):
-        out = {"kind": "error", "s": str(v)}
-    elif isinstance(v, str):
-        out = {"kind": "string", "s": v}
-    elif isinstance(v, dt.datetime):
-        out = {"kind": "dateTime", "ts": v}
-    elif isinstance(v, dt.date):
-        out = {"kind": "date", "d": v}
-    elif isinstance(v, dt.time):
-        out = {"kind": "time", "us": ((v.hour * 60 + v.minute) * 60 + v.second) * 1_000_000 + v.microsecond}
-    else:
-        raise TypeError(f"no kind of cell for {type(v).__name__}")
-    return tuple(out.get(n) for n in CELL.names)
+        return _cell("bool", "b", v)
+    if isinstance(v, Duration):
+        return _cell("duration", "dur", int(v))
+    if isinstance(v, dt.timedelta):
+        return _cell("duration", "dur", v // dt.timedelta(microseconds=1))
+    if isinstance(v, int):
+        return _cell("int", "i", v)
+    if isinstance(v, float):
+        return _cell("float", "f", v)
+    if isinstance(v, ErrorCell):
+        return _cell("error", "s", str(v))
+    if isinstance(v, str):
+        return _cell("string", "s", v)
+    if isinstance(v, dt.datetime):
+        return _cell("dateTime", "ts", v)
+    if isinstance(v, dt.date):
+        return _cell("date", "d", v)
+    if isinstance(v, dt.time):
+        return _cell("time", "us", ((v.hour * 60 + v.minute) * 60 + v.second) * 1_000_000 + v.microsecond)
+    raise TypeError(f"no kind of cell for {type(v).__name__}")
 
 
 def to_python(cell):

@@ -6,6 +6,7 @@ It holds one row at a time, besides shared strings and styles. Element names mat
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import io
 import posixpath
 import re
@@ -60,18 +61,31 @@ class Cell:
     format: str | None = None
 
 
+@functools.lru_cache(maxsize=4096)
 def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
 def _attribute(e: ET.Element, name: str) -> str | None:
-    return next((v for k, v in e.attrib.items() if _local(k) == name), None)
+    """By local name, whatever its namespace."""
+    value = e.get(name)
+    if value is None and e.attrib:
+        value = next((v for k, v in e.attrib.items() if _local(k) == name), None)
+    return value
+
+
+@functools.lru_cache(maxsize=65_536)
+def _column_of(letters: str) -> int | None:
+    """The column that a reference without its row begins with."""
+    m = re.match(r"\$?([A-Za-z]+)", letters)
+    return number(m[1]) if m else None
 
 
 def classify(code: str) -> str:
     """What numbers of a format code are: the first date letter or elapsed-time bracket of its first section decides."""
-    section = re.split(r";(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)", code, maxsplit=1)[0]
-    for m in re.finditer(r'\\.|_.|\*.|"[^"]*"?|\[([^\]]*)\]?|[dmyhsDMYHS]', section, re.S):
+    for m in re.finditer(r'\\.|_.|\*.|"[^"]*"?|\[([^\]]*)\]?|[dmyhsDMYHS;]', code, re.S):
+        if m[0] == ";":
+            break
         if m[0][0] == "[":
             if m[1] and not m[1].strip("hmsHMS"):
                 return "duration"
@@ -81,13 +95,12 @@ def classify(code: str) -> str:
 
 
 def unescape(text: str) -> str:
-    """``_xHHHH_`` is a code unit; surrogates and other forms stay."""
+    """``_xHHHH_`` is a character, the x in either case; surrogates and other forms stay, and what follows them counts anew."""
+    return re.sub(r"_[xX](?![dD][89A-Fa-f])([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), text) if "_" in text else text
 
-    def one(m):
-        code = int(m[1], 16)
-        return m[0] if 0xD800 <= code <= 0xDFFF else chr(code)
 
-    return re.sub(r"_x([0-9A-Fa-f]{4})_", one, text) if "_x" in text else text
+#: What a cell's number may look like: no spaces, no underscores.
+_NUMBER = re.compile(r"[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?|[nN][aA][nN])")
 
 
 def _from_serial(x: float, kind: str, base: dt.datetime):
@@ -233,7 +246,7 @@ class Workbook:
                     data = e
             elif name == "row" and data is not None:
                 r = _attribute(e, "r")
-                row = int(r) if r and r.isdigit() else row + 1
+                row = int(r) if r and r.isdecimal() and int(r) else row + 1
                 yield row, [c for c in e if _local(c.tag) == "c"]
                 data.clear()
             elif name == "sheetData":
@@ -243,13 +256,12 @@ class Workbook:
     def _columns(found: list[ET.Element]) -> Iterator[tuple[int, ET.Element]]:
         at = 0
         for c in found:
-            m = re.match(r"\$?([A-Za-z]+)", _attribute(c, "r") or "")
-            n = number(m[1]) if m else None
+            n = _column_of((_attribute(c, "r") or "").rstrip("0123456789"))
             at = n if n else at + 1
             yield at, c
 
     def _value(self, c: ET.Element) -> Cell:
-        kind, v, formula, inline = c.get("t") or "n", None, None, None
+        kind, v, formula, inline = c.get("t") or "n", "", None, ""
         for e in c:
             name = _local(e.tag)
             if name == "v":
@@ -258,32 +270,30 @@ class Workbook:
                 formula = e.text or ""
             elif name == "is":
                 inline = unescape("".join(t.text or "" for t in e.iter() if _local(t.tag) == "t"))
-        style = int(c.get("s") or 0)
+        chosen = c.get("s") or ""
+        style = int(chosen) if chosen.isdecimal() else 0
         look = self.styles[style] if style < len(self.styles) else Style()
         value: object = None
         if kind == "inlineStr":
-            value = inline if inline is not None else unescape(v or "")
+            value = inline
         elif kind == "str":
-            value = unescape(v or "")
-        elif v is None or (kind == "s" and not v.strip()):
-            value = None
-        elif kind == "s":
-            if not v.strip().isdigit() or int(v) >= len(self.strings):
-                raise ReadError(f"no shared string {v!r}")
-            value = self.strings[int(v)]
+            value = unescape(v)
         elif kind == "b":
-            value = v.strip() == "1" or v.strip().lower() == "true"
+            value = v == "1" or v.lower() == "true"
         elif kind == "e":
             if v not in ERRORS:
                 raise ReadError(f"unknown error text {v!r}")
             value = ErrorCell(v)
         elif kind == "d":
             value = iso_value(v)
-        elif v.strip():
-            try:
-                x = float(v)
-            except ValueError as e:
-                raise ReadError(f"not a number: {v!r}") from e
+        elif kind == "s" and v:
+            if not v.isdecimal() or int(v) >= len(self.strings):
+                raise ReadError(f"no shared string {v!r}")
+            value = self.strings[int(v)]
+        elif v:
+            if not _NUMBER.fullmatch(v):
+                raise ReadError(f"not a number: {v!r}")
+            x = float(v)
             value = _from_serial(x, look.kind, self.base) if look.kind != "number" else number_value(x)
             value = x if value is None else value
         return Cell(0, value, formula, style, look.format)
