@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import hashlib
 import json
 import os
 import sys
@@ -18,6 +17,7 @@ from tabulon.operators import evidence as E
 from tabulon.operators.analyze import analyze
 from tabulon.operators.relation import ROW, Sheet, limit_rows
 from tabulon.plans.model import Plan
+from tabulon.session import export_workbook, result_sheet, stats_document
 from tabulon.sources import workbook as W
 from tabulon.sources.writer import save
 
@@ -80,17 +80,6 @@ def publish(files: dict[str, object]) -> None:
             os.unlink(old)
 
 
-def export_workbook(spark: SparkSession, path: str, options: W.ReadOptions = W.ReadOptions(), export: E.ExportOptions = E.ExportOptions()) -> E.Evidence:
-    data = W.load_bytes(spark, path)
-    w = W.Workbook(data)
-    info = w.sheet(options.sheet_name)
-    w.checked_types()
-    E.check_visible(info.name, info.visibility, export)
-    rows = W.structured_rows(spark, path, W.ReadOptions(info.name, options.start_cell, options.end_cell, options.header, options.ignore_empty_rows))
-    end = str(options.end) if options.end else None
-    return E.export(rows, info.name, hashlib.sha256(data).hexdigest(), export, options.uses_header(), info.index, info.visibility, str(options.start), end, os.path.basename(path))
-
-
 def write_evidence(found: E.Evidence, prefix: str, form: str = "both") -> None:
     ordered = found.chunks.orderBy("chunk")
     files: dict[str, object] = {}
@@ -110,9 +99,9 @@ def write_evidence(found: E.Evidence, prefix: str, form: str = "both") -> None:
 
 
 DEMO = [
-    {"Name": "Ada", "Category": "Hardware", "Region": "East", "Status": "Ready", "Amount": 120, "Active": True, "Score": 9.5},
-    {"Name": "Linus", "Category": "Software", "Region": "West", "Status": "Draft", "Amount": 80, "Active": False, "Score": 7.25},
-    {"Name": "Grace", "Category": "Services", "Region": "North", "Status": "Ready", "Amount": 200, "Active": True, "Score": 8.0},
+    {"Town": "Oslo", "Trade": "Timber", "Coast": "Fjord", "State": "Open", "Stalls": 34, "Covered": True, "Fee": 6.5},
+    {"Town": "Porto", "Trade": "Wine", "Coast": "Ocean", "State": "Shut", "Stalls": 12, "Covered": False, "Fee": 4.25},
+    {"Town": "Split", "Trade": "Fish", "Coast": "Sea", "State": "Open", "Stalls": 51, "Covered": True, "Fee": 3.0},
 ]
 
 
@@ -156,20 +145,20 @@ def run(a, spark: SparkSession, out=sys.stdout, err=sys.stderr) -> None:
     elif a.command == "analyze":
         text = sys.stdin.read() if a.plan == "-" else open(a.plan, encoding="utf-8").read()
         r = analyze(W.read(spark, a.file, _read_options(a, a.header)), Plan.from_json(text))
-        stats = {"seenRows": r.seen_rows, "matchedRows": r.matched_rows, "totalGroups": r.total_groups, "returnedGroups": r.returned_groups, "truncated": r.truncated}
-        names = [c for c in r.rows.columns if c != "source_rows"]
-        rows = r.rows.collect()  # at most as many as the plan's max_groups
-        numbered = spark.createDataFrame([(k, *[x[c] for c in names]) for k, x in enumerate(rows)], "struct<_row:bigint," + ",".join(f"c{k}:{r.rows.schema[c].dataType.simpleString()}" for k, c in enumerate(names)) + ">")
-        sheet = Sheet(numbered, tuple(names), r.sheet)
+        stats = stats_document(r)
+        sheet, sources = result_sheet(spark, r)
         if a.format == "json":
             lines = [json.loads(x[0]) for x in sheet.df.orderBy(ROW).select(E.row_document(sheet)).collect()]
-            print(json.dumps({"sheet": r.sheet, "plan": r.plan.to_json(), "rows": [{"values": v, "sourceRows": x["source_rows"]} for v, x in zip(lines, rows, strict=True)], "stats": stats}, ensure_ascii=False, indent=2), file=out)
+            print(json.dumps({"sheet": r.sheet, "plan": r.plan.to_json(), "rows": [{"values": v, "sourceRows": x} for v, x in zip(lines, sources, strict=True)], "stats": stats}, ensure_ascii=False, indent=2), file=out)
         else:
             _put(sheet, a.format, out)
             print(json.dumps(stats), file=err)
     elif a.command == "rag-export":
         found = export_workbook(spark, a.file, _read_options(a), E.ExportOptions(a.chunk_rows, a.max_rows, a.allow_hidden_sheets))
-        write_evidence(found, a.output_prefix, a.format)
+        try:
+            write_evidence(found, a.output_prefix, a.format)
+        finally:
+            found.close()
     elif a.command == "write-demo":
         os.makedirs(os.path.dirname(a.file) or ".", exist_ok=True)
         save(a.file, DEMO)

@@ -50,10 +50,14 @@ class ReadOptions:
 
 
 def load_bytes(spark: SparkSession, path: str) -> bytes:
-    found = spark.read.format("binaryFile").load(path).select("content").take(1)
+    """The one file at a path."""
+    files = spark.read.format("binaryFile").load(path)
+    found = files.select("path").take(2)
     if not found:
         raise ReadError(f"no file at {path}")
-    return bytes(found[0][0])
+    if len(found) > 1:
+        raise ReadError(f"several files at {path}: a sheet is one file's; structured_rows reads them all")
+    return bytes(files.select("content").first()[0])
 
 
 def _workbook(source, spark: SparkSession | None) -> Workbook:
@@ -124,31 +128,47 @@ class _Batch:
 _NOTHING = (None,) * len(C.CELL.names)
 
 
+def structured_batches(w: Workbook, path: str | None, options: ReadOptions) -> Iterator:
+    """Arrow batches of the selected rows of a sheet."""
+    info, held = w.sheet(options.sheet_name), _Batch()
+    for row, cells in w.rows(info, options.start, options.end, options.ignore_empty_rows):
+        held.add(path, info.name, row, cells)
+        if len(held.rows) == 5000:
+            yield held.arrow()
+            held = _Batch()
+    if held.rows:
+        yield held.arrow()
+
+
 def structured_rows(spark: SparkSession, path: str, options: ReadOptions = ReadOptions()) -> DataFrame:
     """path, sheet, _row, cells: the explicit cells of the selected rows, of all files at a path."""
-    start, end, name, ignore = options.start, options.end, options.sheet_name, options.ignore_empty_rows
 
     def run(batches) -> Iterator:
         for batch in batches:
             for p, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                w, held = Workbook(content), _Batch()
-                info = w.sheet(name)
-                for row, cells in w.rows(info, start, end, ignore):
-                    held.add(p, info.name, row, cells)
-                    if len(held.rows) == 5000:
-                        yield held.arrow()
-                        held = _Batch()
-                if held.rows:
-                    yield held.arrow()
+                yield from structured_batches(Workbook(content), p, options)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ROWS)
 
 
+def structured_bytes(spark: SparkSession, data: bytes, options: ReadOptions = ReadOptions()) -> DataFrame:
+    """The same from bytes on the driver, with a null path."""
+    return spark.createDataFrame([(bytes(data),)], "content binary").select(F.lit(None).cast("string").alias("path"), "content").mapInArrow(_of_bytes(options), ROWS)
+
+
+def _of_bytes(options: ReadOptions):
+    def run(batches) -> Iterator:
+        for batch in batches:
+            for content in batch.column("content").to_pylist():
+                yield from structured_batches(Workbook(content), None, options)
+
+    return run
+
+
 def header_of(w: Workbook, info: SheetInfo, options: ReadOptions, typed: bool = False) -> tuple[int, list[int], list[str], int | None]:
     """First column, kept columns, their names, and the header's row."""
     start, end = options.start, options.end
-    extent = w.extent(info)
-    last = end.column if end else (extent[3] if extent else 0)
+    last = end.column if end else (w.extent(info) or (0, 0, 0, 0))[3]
     columns = list(range(start.column, last + 1))
     if not options.uses_header(typed):
         return start.column, columns, [letters(n) for n in columns], None

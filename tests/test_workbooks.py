@@ -16,10 +16,12 @@ from tabulon.operators import evidence as E
 from tabulon.operators import relation as S
 from tabulon.operators.analyze import analyze
 from tabulon.plans import model as M
+from tabulon.session import WorkbookSession, export_workbook
 from tabulon.sources import ooxml as O
 from tabulon.sources import template as P
 from tabulon.sources import workbook as W
 from tabulon.sources import writer as X
+from tabulon.sources.datasource import WorkbookSource
 from tabulon.streaming import rows as V
 
 MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -77,6 +79,70 @@ def test_parser_on_odd_sheets():
     assert [O.classify(c) for c in ("General", '"day" 0', "[Red]0", "0;yy", "[h]:mm", "\\d0", "mmm")] == ["number", "number", "number", "number", "duration", "number", "dateTime"]
 
 
+def one_sheet(data, **more):
+    return package([("S", "", f"<sheetData>{data}</sheetData>")], **more)
+
+
+def values(raw, **options):
+    w = O.Workbook(raw)
+    return [(r, {R.letters(c.column): c.value for c in cells}) for r, cells in w.rows(w.sheet(), **options)]
+
+
+def test_cells_without_a_value_and_odd_attributes():
+    rows = values(one_sheet('<row r="0"><c t="b"/><c t="d"/><c t="s"/><c t="n"/><c t="str"/><c t="inlineStr"><v>lost</v></c><c s="x"><v>1</v></c></row><row r="0"><c><v>2</v></c></row>'))
+    assert rows == [(1, {"A": False, "B": "", "C": None, "D": None, "E": "", "F": "", "G": 1}), (2, {"A": 2})]
+    for bad in ('<c t="e"/>', "<c><v>1_0</v></c>", "<c><v> 1</v></c>", '<c t="s"><v>9</v></c>', '<c t="s"><v>-1</v></c>', "<c><v>one</v></c>"):
+        with pytest.raises(ReadError):
+            values(one_sheet(f"<row>{bad}</row>"))
+    assert values(one_sheet("<row><c><v>1e3</v></c><c><v>-.5</v></c><c><v>inf</v></c></row>"))[0][1] == {"A": 1000, "B": -0.5, "C": float("inf")}
+
+
+def test_escapes_and_format_codes():
+    for text, shown in [("_X0041_", "A"), ("_xD800_x0041_", "_xD800A"), ("_x0041", "_x0041"), ("__x0042_", "_B"), ("_x00g1_", "_x00g1_"), ("_x005F_x0041_", "_x0041_")]:
+        assert O.unescape(text) == shown
+    for code, kind in [("0\\;d", "dateTime"), ("0;d", "number"), ('"d"0', "number"), ("[Red]0", "number"), ("[mm]:ss", "duration"), ("_d0", "number"), ('";"d', "dateTime")]:
+        assert O.classify(code) == kind, code
+    out = io.BytesIO()
+    X.write(out, [("S", ["t"], [("_X0041_ _x0041_",)])])
+    assert values(out.getvalue())[1][1] == {"A": "_X0041_ _x0041_"}
+
+
+def test_one_file_at_a_path(spark, tmp_path):
+    X.save(str(tmp_path / "a.xlsx"), [{"k": 1}])
+    X.save(str(tmp_path / "b.xlsx"), [{"z": 2}])
+    with pytest.raises(ReadError, match="several files"):
+        W.read(spark, str(tmp_path))
+    assert {r.path[-6:] for r in W.structured_rows(spark, f"{tmp_path}/*.xlsx").collect()} == {"a.xlsx", "b.xlsx"}
+    drop = lambda df: [(r.sheet, r["_row"], r.cells) for r in df.orderBy("_row").collect()]
+    assert drop(W.structured_bytes(spark, (tmp_path / "a.xlsx").read_bytes())) == drop(W.structured_rows(spark, str(tmp_path / "a.xlsx")))
+
+
+def test_data_source(spark, tmp_path):
+    spark.dataSource.register(WorkbookSource)
+    X.save(str(tmp_path / "a.xlsx"), [{"k": 1, "v": "x"}, {"k": 2.5, "v": None}])
+    X.save(str(tmp_path / "b.xlsx"), [{"z": True}])
+    (tmp_path / "notes.txt").write_text("none")
+    rows = lambda df: sorted((r.path[-6:], r.sheet, r["_row"], str(r.cells)) for r in df.collect())
+    assert rows(spark.read.format("workbook").load(str(tmp_path))) == rows(W.structured_rows(spark, f"{tmp_path}/*.xlsx"))
+    one = spark.read.format("workbook").option("startCell", "B2").option("ignoreEmptyRows", "true").load(f"file://{tmp_path}/a.xlsx")
+    assert [(r["_row"], [c.cell.s for c in r.cells]) for r in one.collect()] == [(2, ["x"])]
+    assert one.where("_row > 2").count() == 0
+
+
+def test_session_documents(spark, tmp_path):
+    X.save(str(tmp_path / "s.xlsx"), [{"k": "a", "v": 2**60, "d": dt.date(2024, 2, 3)}, {"k": "b", "v": 2.5, "d": None}, {"k": "a", "v": True, "d": None}])
+    session = WorkbookSession(spark, (tmp_path / "s.xlsx").read_bytes())
+    found = session.inspect({"hasHeader": True, "limit": 2})
+    assert found["columns"] == ["k", "v", "d"] and found["sheetNames"] == ["Sheet1"] and found["sheetInfo"][0]["visibility"] == "visible"
+    assert (found["totalRows"], found["displayedRows"], found["truncated"]) == (3, 2, True)
+    assert found["rows"][1] == ["b", 2.5, None] and found["rows"][0][2] == "2024-02-03T00:00:00" and found["cellTypes"][1] == ["string", "number", "empty"]
+    assert session.inspect({"limit": 0})["displayedRows"] == 4
+    r = session.analyze({"hasHeader": True}, {"groupBy": ["k"], "aggregates": [{"op": "count", "alias": "n"}]})
+    assert r["columns"] == ["k", "n"] and r["rows"] == [{"values": ["a", 2], "cellTypes": ["string", "integer"], "sourceRows": [2, 4]}, {"values": ["b", 1], "cellTypes": ["string", "integer"], "sourceRows": [3]}]
+    assert r["stats"]["totalGroups"] == 2 and r["plan"]["groupBy"] == ["k"] and r["selectedSheet"] == "Sheet1"
+    assert session.export_simple_markdown({"endCell": "A2"}) == {"markdown": "| A |\n| --- |\n| k |\n| a |\n", "selectedSheet": "Sheet1", "emittedRows": 2}
+
+
 def test_references():
     assert [R.letters(n) for n in (1, 26, 27, 702, 703, 16384)] == ["A", "Z", "AA", "ZZ", "AAA", "XFD"]
     assert all(R.number(R.letters(n)) == n for n in range(1, 16385, 7)) and R.number("XFE") is None
@@ -155,7 +221,7 @@ def test_analysis_of_a_workbook(spark, tmp_path):
 def test_evidence(spark, tmp_path):
     with open(tmp_path / "e.xlsx", "wb") as f:
         f.write(package([("D*1", "", '<sheetData><row><c t="inlineStr"><is><t>Na|me</t></is></c><c><v>1</v></c></row>' + "".join(f'<row><c><v>{i}.5</v></c><c s="1"><f>B1*2</f><v>{i}</v></c></row>' for i in range(5)) + "</sheetData>"), ("H", 'state="veryHidden"', "<sheetData/>")], None, STYLES))
-    found = cli.export_workbook(spark, str(tmp_path / "e.xlsx"), W.ReadOptions(header=True), E.ExportOptions(2, 4))
+    found = export_workbook(spark, str(tmp_path / "e.xlsx"), W.ReadOptions(header=True), E.ExportOptions(2, 4))
     chunks = found.chunks.orderBy("chunk").collect()
     docs = [json.loads(c.json) for c in chunks]
     m = found.manifest
@@ -167,7 +233,14 @@ def test_evidence(spark, tmp_path):
     assert lines[1] == "## D\\*1 - A2:B3" and lines[3] == "| _row | Na\\|me | 1 |" and lines[4] == "| ---: | --- | --- |"
     assert lines[5].startswith("| 2 | 0.5 | 1899-12-31T00:00:00 \\[formula: =B1\\*2; cached\\] |") and "### Cell metadata" in chunks[0].markdown and lines[-3] == "<!-- tabulon:chunk-end -->"
     with pytest.raises(HiddenSheetError):
-        cli.export_workbook(spark, str(tmp_path / "e.xlsx"), W.ReadOptions("H"))
+        export_workbook(spark, str(tmp_path / "e.xlsx"), W.ReadOptions("H"))
+    session = WorkbookSession(spark, (tmp_path / "e.xlsx").read_bytes())
+    again = session.export_rag({"hasHeader": True}, E.ExportOptions(2, 4, source_name="e.xlsx"))
+    assert again["chunks"] == docs and again["manifest"] == m and again["chunksJsonl"].count("\n") == 2
+    assert again["chunksMarkdown"] == E.stream_start(m) + "".join(c.markdown for c in chunks) + E.stream_end(m)
+    with pytest.raises(HiddenSheetError):
+        session.export_simple_markdown({"sheetName": "H"})
+    assert session.export_simple_markdown({"sheetName": "H", "allowHiddenSheets": True}) == {"markdown": "", "selectedSheet": "H", "emittedRows": 0}
     for bad in ({"chunk_rows": 0}, {"max_rows": 0}):
         with pytest.raises(ValueError):
             E.ExportOptions(**bad)
@@ -180,14 +253,14 @@ def test_evidence(spark, tmp_path):
 
 def test_template(tmp_path):
     text = lambda at, t, s="": f'<c r="{at}" {s} t="inlineStr"><is><t>{t}</t></is></c>'
-    raw = package([("R", "", f'<dimension ref="A1:C4"/><sheetData><row r="1">{text("A1", "{{title}}")}</row><row r="3">{text("A3", "{{items.name}}", "s=\"1\"")}{text("B3", "{{ items.score }}")}{text("C3", "{{$rowindex}}: {{active}}")}</row><row r="4">{text("A4", "Foot: {{title}}")}{text("B4", "{{none}}")}</row></sheetData>')], None, STYLES)
-    data = {"title": "Q <1> & =", "active": True, "items": [{"name": "=Ada", "score": 10}, {"name": "Linus", "score": 2.5}]}
+    raw = package([("R", "", f'<dimension ref="A1:C4"/><sheetData><row r="1">{text("A1", "{{title}}")}</row><row r="3">{text("A3", "{{lots.town}}", "s=\"1\"")}{text("B3", "{{ lots.area }}")}{text("C3", "{{$rowindex}}: {{active}}")}</row><row r="4">{text("A4", "Foot: {{title}}")}{text("B4", "{{none}}")}</row></sheetData>')], None, STYLES)
+    data = {"title": "Q <1> & =", "active": True, "lots": [{"town": "=Bern", "area": 10}, {"town": "Lund", "area": 2.5}]}
     w = O.Workbook(P.fill_bytes(raw, data))
     rows = {r: {c.column: c.value for c in cells} for r, cells in w.rows(w.sheet())}
-    assert rows == {1: {1: "Q <1> & ="}, 2: {}, 3: {1: "'=Ada", 2: 10, 3: "1: true"}, 4: {1: "Linus", 2: 2.5, 3: "2: true"}, 5: {1: "Foot: Q <1> & =", 2: None}}
+    assert rows == {1: {1: "Q <1> & ="}, 2: {}, 3: {1: "'=Bern", 2: 10, 3: "1: true"}, 4: {1: "Lund", 2: 2.5, 3: "2: true"}, 5: {1: "Foot: Q <1> & =", 2: None}}
     assert str(w.dimensions(w.sheet()).end) == "C5"
     assert [c.style for _, cells in w.rows(w.sheet(), R.CellReference(3, 1), R.CellReference(4, 1)) for c in cells] == [1, 1]
-    empty = O.Workbook(P.fill_bytes(raw, {**data, "items": []}))
+    empty = O.Workbook(P.fill_bytes(raw, {**data, "lots": []}))
     assert [c.value for c in dict(empty.rows(empty.sheet()))[3]] == [None, None, "1: true"] and 5 not in dict(empty.rows(empty.sheet()))
     with pytest.raises(TemplateError, match="none"):
         P.fill_bytes(raw, data, ignore_missing=False)
@@ -200,7 +273,7 @@ def test_template(tmp_path):
 
 def test_command_line(spark, tmp_path):
     path, plan = str(tmp_path / "d" / "demo.xlsx"), tmp_path / "p.json"
-    plan.write_text(json.dumps({"groupBy": ["Status"], "aggregates": [{"op": "sum", "column": "Amount", "alias": "total"}]}))
+    plan.write_text(json.dumps({"groupBy": ["State"], "aggregates": [{"op": "sum", "column": "Stalls", "alias": "total"}]}))
 
     def call(*argv):
         out, err = io.StringIO(), io.StringIO()
@@ -209,12 +282,12 @@ def test_command_line(spark, tmp_path):
 
     call("write-demo", path)
     assert call("sheets", path)[0] == "1\tSheet1\n"
-    assert call("query", path, "--header", "--limit", "1")[0].splitlines()[2] == "| Ada | Hardware | East | Ready | 120 | true | 9.5 |"
-    assert json.loads(call("query", path, "--format", "jsonl", "--limit", "1")[0])["A"] == "Name"
+    assert call("query", path, "--header", "--limit", "1")[0].splitlines()[2] == "| Oslo | Timber | Fjord | Open | 34 | true | 6.5 |"
+    assert json.loads(call("query", path, "--format", "jsonl", "--limit", "1")[0])["A"] == "Town"
     assert call("query", path, "--start-cell", "A90")[0] == "No rows.\n"
     table, stats = call("analyze", path, "--header", "--plan", str(plan))
-    assert table.splitlines()[2:] == ["| Ready | 320 |", "| Draft | 80 |"] and json.loads(stats)["totalGroups"] == 2
-    assert json.loads(call("analyze", path, "--header", "--plan", str(plan), "--format", "json")[0])["rows"][0] == {"values": {"Status": "Ready", "total": 320}, "sourceRows": [2, 4]}
+    assert table.splitlines()[2:] == ["| Open | 85 |", "| Shut | 12 |"] and json.loads(stats)["totalGroups"] == 2
+    assert json.loads(call("analyze", path, "--header", "--plan", str(plan), "--format", "json")[0])["rows"][0] == {"values": {"State": "Open", "total": 85}, "sourceRows": [2, 4]}
     call("rag-export", path, "--header", "--output-prefix", str(tmp_path / "x"), "--format", "jsonl")
     assert (tmp_path / "x.chunks.jsonl").exists() and not (tmp_path / "x.chunks.md").exists()
     with pytest.raises(ZeroDivisionError):
