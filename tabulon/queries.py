@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulon.errors import AnalysisError, GroupLimitError
 from tabulon.functions import cells as C
 from tabulon.functions import references as R
 from tabulon.functions import text as X
 from tabulon.operators import evidence as E
 from tabulon.operators import relation as S
-from tabulon.operators.analyze import analyze_frame, matched
+from tabulon.operators.analyze import analyze, analyze_frame, matched
 from tabulon.plans import model as M
+from tabulon.streaming.rows import preview
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -151,10 +154,23 @@ aggregated(
 )
 
 
-@query("group_limit_check", "SELECT count(*) AS total_groups, count(*) > 1000 AS exceeded FROM (SELECT c_custkey FROM customer GROUP BY 1)")
+GUARDED = ("c_custkey", "c_nationkey", "c_mktsegment")
+
+
+@query("group_limit_check", " UNION ALL ".join(f"SELECT '{c}' AS name, n > 1000 AS exceeded, CASE WHEN n <= 1000 THEN n END AS total_groups FROM (SELECT count(DISTINCT {c}) AS n FROM customer)" for c in GUARDED))
 def group_limit(spark, sf_dir):
-    groups = analyze_frame(sheet(spark, sf_dir, "customer", "c_custkey"), M.Plan((n_rows,), ("c_custkey",), evidence_rows=0))
-    return groups.agg(F.count(F.lit(1)).alias("total_groups"), (F.count(F.lit(1)) > 1000).alias("exceeded"))
+    """Which columns' groups the guard of a thousand lets through, and how many those have."""
+    found = []
+    for c in GUARDED:
+        try:
+            r = analyze(sheet(spark, sf_dir, "customer", "c_custkey"), M.Plan((n_rows,), (c,), max_groups=1000, evidence_rows=0))
+            found.append((c, False, r.total_groups))
+        except GroupLimitError:
+            found.append((c, True, None))
+    return spark.createDataFrame(found, "name string, exceeded boolean, total_groups long")
+
+
+STATS_PLAN = M.Plan((n_rows,), ("o_orderpriority",), M.compare("o_orderstatus", "eq", "F"), limit=2, evidence_rows=3)
 
 
 @query(
@@ -162,11 +178,43 @@ def group_limit(spark, sf_dir):
     "WITH m AS (SELECT * FROM orders WHERE o_orderstatus = 'F'), g AS (SELECT count(DISTINCT o_orderpriority) AS n FROM m) SELECT (SELECT count(*) FROM orders) AS seen_rows, (SELECT count(*) FROM m) AS matched_rows, g.n AS total_groups, least(g.n, 2) AS returned_groups, g.n > 2 AS truncated FROM g",
 )
 def stats(spark, sf_dir):
-    s = sheet(spark, sf_dir, "orders", "o_orderkey")
-    plan = M.Plan((n_rows,), ("o_orderpriority",), M.compare("o_orderstatus", "eq", "F"), limit=2, evidence_rows=0)
-    hit = F.coalesce(F.col("hit"), F.lit(False))
-    rows = s.df.select(F.col("c5").alias("g"), (F.col("c2") == "F").alias("hit"))
-    return rows.agg(F.count(F.lit(1)).alias("seen_rows"), F.count_if(hit).alias("matched_rows"), F.count_distinct(F.when(hit, F.col("g"))).alias("total_groups")).select("*", F.least("total_groups", F.lit(plan.limit).cast("long")).alias("returned_groups"), (F.col("total_groups") > plan.limit).alias("truncated"))
+    r = analyze(sheet(spark, sf_dir, "orders", "o_orderkey"), STATS_PLAN)
+    return spark.createDataFrame([(r.seen_rows, r.matched_rows, r.total_groups, r.returned_groups, r.truncated)], "seen_rows long, matched_rows long, total_groups long, returned_groups long, truncated boolean")
+
+
+@query(
+    "analyze_result",
+    "WITH m AS (SELECT *, o_orderkey + 2 AS r, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS rn FROM orders WHERE o_orderstatus = 'F') SELECT o_orderpriority, count(*) AS n_rows, string_agg(CAST(r AS VARCHAR), ',' ORDER BY r) FILTER (WHERE rn <= 3) AS source_rows FROM m GROUP BY 1 ORDER BY min(r) LIMIT 2",
+)
+def analyze_result(spark, sf_dir):
+    """The rows of a guarded analysis, evidence included."""
+    return evidence_text(analyze(sheet(spark, sf_dir, "orders", "o_orderkey"), STATS_PLAN).rows)
+
+
+def first_error(name, sql, plan, cell):
+    """Row and column of the first cell that a plan can't use; a column of cells of mixed kinds."""
+
+    @query(name, sql)
+    def run(spark, sf_dir):
+        s = sheet(spark, sf_dir, "events", "event_id")
+        k = s.columns.index("value")
+        mixed = S.Sheet(s.df.withColumn(f"c{k}", cell(F.col(f"c{k}"), F.col(S.ROW))), s.names, s.name)
+        try:
+            analyze(mixed, plan)
+            found = (None, None)
+        except AnalysisError as e:
+            found = (e.row, e.column)
+        return spark.createDataFrame([found], "row long, column string")
+
+
+def error_cells(value, row):
+    """Every 97th cell is an error."""
+    as_error = F.when(row % 97 == 0, F.struct(F.lit("error").alias("kind"), *[(F.lit("#N/A") if f.name == "s" else F.lit(None)).cast(f.dataType).alias(f.name) for f in C.CELL.fields[1:]]))
+    return F.coalesce(as_error, C.lift(value, T.DoubleType()))
+
+
+first_error("error_in_filter", "SELECT min(r) AS row, 'value' AS column FROM (SELECT event_id + 2 AS r, * FROM events) WHERE r % 97 = 0 AND event_type = 'click'", M.Plan((n_rows,), (), M.all_of(M.compare("event_type", "eq", "click"), M.compare("value", "lt", 10.0))), error_cells)
+first_error("error_in_aggregate", "SELECT min(r) AS row, 'value' AS column FROM (SELECT event_id + 2 AS r, * FROM events) WHERE r % 97 = 0", M.Plan((M.Aggregate("sum", "total", "value"),), ("event_type",)), error_cells)
 
 
 @query("range_select", "SELECT n_nationkey + 2 AS _row, n_name FROM nation WHERE n_nationkey + 2 BETWEEN 5 AND 12")
@@ -191,10 +239,10 @@ def row_limit(spark, sf_dir):
     return S.limit_rows(sheet(spark, sf_dir, "nation", "n_nationkey")).to_df()
 
 
-@query("preview_counts", "SELECT count(*) AS total_rows, least(count(*), 100) AS displayed_rows, count(*) > 100 AS truncated FROM events")
+@query("preview_counts", "SELECT count(*) AS total_rows, least(count(*), 100) AS displayed_rows, count(*) > 100 AS truncated, (SELECT string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) FROM (SELECT event_id FROM events ORDER BY 1 LIMIT 100)) AS ids FROM events")
 def preview_counts(spark, sf_dir):
-    total = F.count(F.lit(1))
-    return sheet(spark, sf_dir, "events", "event_id").df.agg(total.alias("total_rows"), F.least(total, F.lit(100).cast("long")).alias("displayed_rows"), (total > 100).alias("truncated"))
+    p = preview(sheet(spark, sf_dir, "events", "event_id"))
+    return spark.createDataFrame([(p["totalRows"], p["displayedRows"], p["truncated"], ",".join(str(r["event_id"]) for r in p["rows"]))], "total_rows long, displayed_rows long, truncated boolean, ids string")
 
 
 @query("fill_missing_rows", "SELECT g.r AS _row, l.doc_id, l.quality, l.toxic FROM (SELECT unnest(generate_series(1, (SELECT max(doc_id) + 2 FROM labels))) AS r) g LEFT JOIN labels l ON l.doc_id + 2 = g.r")
@@ -303,21 +351,6 @@ def rag_cells(spark, sf_dir):
     return data.select(S.ROW, F.regexp_extract(E.row_json(F.col(S.ROW), F.col("cells")), r"\"cells\":\[(.*?\"General\"\})", 1).alias("first_cell"), F.size("cells").alias("n_cells"))
 
 
-@query(
-    "rag_manifest_counts",
-    """
-WITH d AS (SELECT n_nationkey + 2 AS r, n_nationkey // 10 AS c, n_name AS s FROM nation),
-     j AS (SELECT r, c, '{"row":' || r || ',"cells":[{"row":' || r || ',"column":1,"address":"A' || r || '","value":{"type":"string","value":' || CAST(to_json(s) AS VARCHAR) || '},"formula":null,"calculationStatus":"notApplicable","styleId":0,"numberFormat":"General"}]}' AS x FROM d),
-     k AS (SELECT c, '{"version":"tabulon.rag-chunk/v1","chunkId":"0123456789ab:0:A' || min(r) || ':A' || max(r) || '","sheetName":"nation","sheetIndex":0,"dataRange":"A' || min(r) || ':A' || max(r) || '","header":null,"rows":[' || string_agg(x, ',' ORDER BY r) || ']}' AS doc FROM j GROUP BY c)
-SELECT (SELECT count(*) FROM d) AS rows, count(*) AS chunks, CAST(sum(strlen(doc) + 1) AS BIGINT) AS bytes, CAST(ceil(sum(strlen(doc) + 1) / 4.0) AS BIGINT) AS tokens FROM k""",
-)
-def rag_manifest(spark, sf_dir):
-    df = table(spark, sf_dir, "nation").select("n_name", "n_nationkey")
-    s = S.from_dataframe(df, F.col("n_nationkey") + 2, "nation")
-    m = E.export(E.document_rows(S.Sheet(s.df.drop("c1"), ("n_name",))), "nation", "0123456789abcdef", E.ExportOptions(chunk_rows=10)).manifest
-    return spark.createDataFrame([(m["emittedRows"], m["emittedChunks"], m["jsonlUtf8Bytes"], m["approximateTokens"])], "rows long, chunks long, bytes long, tokens long")
-
-
 BACK = "\\"
 
 
@@ -333,6 +366,48 @@ def _escape_sql(column: str, marks: str, amp: bool) -> str:
     return f"regexp_replace({out}, '{BACK}r{BACK}n|{BACK}r|{BACK}n', '<br>', 'g')"
 
 
+#: Chunks of ten rows of the nations' names, as JSON documents.
+NATION_CHUNKS = """
+WITH d AS (SELECT n_nationkey + 2 AS r, n_nationkey // 10 AS c, n_name AS s FROM nation),
+     j AS (SELECT r, c, s, '{"row":' || r || ',"cells":[{"row":' || r || ',"column":1,"address":"A' || r || '","value":{"type":"string","value":' || CAST(to_json(s) AS VARCHAR) || '},"formula":null,"calculationStatus":"notApplicable","styleId":0,"numberFormat":"General"}]}' AS x FROM d),
+     k AS (SELECT c, 'A' || min(r) || ':A' || max(r) AS range, '{"version":"tabulon.rag-chunk/v1","chunkId":"0123456789ab:0:A' || min(r) || ':A' || max(r) || '","sheetName":"nation","sheetIndex":0,"dataRange":"A' || min(r) || ':A' || max(r) || '","header":null,"rows":[' || string_agg(x, ',' ORDER BY r) || ']}' AS doc, string_agg('| ' || r || ' | ' || ESCAPED || ' |' || chr(10), '' ORDER BY r) AS lines FROM j GROUP BY c)
+"""
+
+
+def _nation_export(spark, sf_dir) -> E.Evidence:
+    df = table(spark, sf_dir, "nation").select("n_name", "n_nationkey")
+    s = S.from_dataframe(df, F.col("n_nationkey") + 2, "nation")
+    return E.export(E.document_rows(S.Sheet(s.df.drop("c1"), ("n_name",))), "nation", "0123456789abcdef", E.ExportOptions(chunk_rows=10), source_name="tpch.xlsx")
+
+
+@query(
+    "rag_chunk_documents",
+    NATION_CHUNKS.replace("ESCAPED", _escape_sql("s", X.EVIDENCE_MARKS, True))
+    + """SELECT c AS chunk, doc AS json, '<!-- tabulon:chunk-start id="0123456789ab:0:' || range || '" -->' || chr(10) || '## nation - ' || range || chr(10) || chr(10) || '| _row | A |' || chr(10) || '| ---: | --- |' || chr(10) || lines || '<!-- tabulon:chunk-end -->' || chr(10) || chr(10) AS markdown FROM k""",
+)
+def rag_documents(spark, sf_dir):
+    return _nation_export(spark, sf_dir).chunks.select("chunk", "json", "markdown")
+
+
+@query(
+    "rag_manifest_counts",
+    NATION_CHUNKS.replace("ESCAPED", "s")
+    + """, t AS (SELECT (SELECT count(*) FROM d) AS n, count(*) AS chunks, CAST(sum(strlen(doc) + 1) AS BIGINT) AS bytes FROM k)
+SELECT unnest(['version', 'sourceName', 'sourceSha256', 'sheetName', 'sheetIndex', 'sheetVisibility', 'startCell', 'endCell', 'hasHeader', 'chunkRows', 'maxRows', 'emittedRows', 'emittedChunks', 'jsonlUtf8Bytes', 'approximateTokens', 'truncated', 'continuationRow', 'formulaCalculation']) AS field,
+       unnest(['"tabulon.rag-manifest/v1"', '"tpch.xlsx"', '"0123456789abcdef"', '"nation"', '0', '"visible"', '"A1"', 'null', 'false', '10', 'null', CAST(n AS VARCHAR), CAST(chunks AS VARCHAR), CAST(bytes AS VARCHAR), CAST(CAST(ceil(bytes / 4.0) AS BIGINT) AS VARCHAR), 'false', 'null', '\""""
+    + E.NO_CALCULATION.replace("'", "''")
+    + """"']) AS value FROM t""",
+)
+def rag_manifest(spark, sf_dir):
+    m = _nation_export(spark, sf_dir).manifest
+    return spark.createDataFrame([(k, json.dumps(v)) for k, v in m.items()], "field string, value string")
+
+
+@query("rag_stream_ends", "SELECT '<!-- tabulon:stream-end chunks=\"' || count(DISTINCT n_nationkey // 10) || '\" rows=\"' || count(*) || '\" truncated=\"false\" -->' || chr(10) AS line FROM nation")
+def rag_stream(spark, sf_dir):
+    return spark.createDataFrame([(E.stream_end(_nation_export(spark, sf_dir).manifest),)], "line string")
+
+
 @query("markdown_escape_evidence", f"SELECT doc_id, md5(regexp_replace({_escape_sql('text', X.EVIDENCE_MARKS, True)}, '[{BACK}x00-{BACK}x09{BACK}x0B{BACK}x0C{BACK}x0E-{BACK}x1F{BACK}x7F]', ' ', 'g')) AS digest FROM documents")
 def escape_evidence(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.escape_evidence(F.col("text"))).alias("digest"))
