@@ -49,3 +49,14 @@ def test_stages_on_odd_tables(spark):
         out, none = stage(spark, docs, SF), stage(spark, docs.limit(0), SF)
         assert none.count() == 0 and out.count() >= 4, name
         assert name == "sentencepiece" or out.columns == COLUMNS
+
+
+def test_columns_of_any_name_pass_through(spark):
+    more = ["id", "h", "rest", "row", "spans", "left", "kept", "lang_pred", "a.b", "n`x", "digest", "cuts"]
+    rows = [(i, f"the {w} and of it\nin the {w}\nand {w}", "en", "s", 1, *map(str, range(len(more)))) for i, w in enumerate(["cat", "dog", "dog", "sun"])]
+    docs = spark.createDataFrame(rows, spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").schema.names + more)
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        kept = out.collect()
+        assert {r.doc_id for r in kept} in ({0, 1, 2, 3}, {0, 1, 3}) and all(r["a.b"] == "8" and r["n`x"] == "9" for r in kept), name
