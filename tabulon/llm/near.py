@@ -22,7 +22,8 @@ miss a pair with probability 1e-8.
 
 Null and word-less texts have the empty set and are linked with nothing; texts of fewer words than
 a shingle are one shingle; rows that repeat an id are one node; rows with a null id are linked
-with nothing and kept. Whole texts count. Columns other than id and text are ignored.
+with nothing and kept. Whole texts count. An empty table gives an empty result. Columns other than
+id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ BANDS, ROWS = 100, 8
 #: Bins that an empty one looks at before it looks at all.
 TRIES = 32
 #: Shingles of either side of a tile, about; and cells of a matrix that counts shared ones.
-TILE, CELLS = 400_000, 4_000_000
+TILE, CELLS = 250_000, 4_000_000
 #: Words that a worker keeps the hashes of; about 150 bytes each.
 TABLE_ENTRIES = 200_000
 
@@ -324,7 +325,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     weight = scratch.save(live.groupBy("rep").agg(F.sum("size").alias("weight")), "weight")
     stars = scratch.save(_stars(live, weight), "stars")
     wanted = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = scratch.save(full_sets(texts.join(wanted, "id", "left_semi"), shingle), "sets")
+    # One plan at every size: texts are shuffled once. Beyond 10 GB of texts Spark filters them by a Bloom filter of the ids first.
+    sets = scratch.save(full_sets(texts.join(wanted.hint("merge"), "id", "left_semi"), shingle), "sets")
 
     links = scratch.save(centre_links(stars, sets, percent), "links")
     label = scratch.save(components(links, scratch, "component"), "label")
@@ -340,4 +342,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     of_key = nodes.select("key", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("found"))
     component = F.when(F.col("id").isNotNull(), F.least(F.coalesce("found", "id"), "id"))
     out = every.select("id", "n", "key").join(of_key, "key", "left").select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).withColumnRenamed("id", id_col)
+    out = scratch.save(out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))), "result")
+    scratch.keep("result")
+    return out.withColumnRenamed("id", id_col)

@@ -113,3 +113,42 @@ def test_query(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op9_near_duplicates"](spark, sf).collect()}
     want = brute(docs)
     assert got == want and sum(i != c for i, (_, c) in want.items()) > 20
+
+
+def test_large_group_of_near_copies_in_tiles(spark, monkeypatch):
+    """Two passes settle a group of any size, with tiles far smaller than it, and the number of jobs doesn't follow its size."""
+    monkeypatch.setattr(near, "TILE", 6_000)
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(400)]
+    base = [rng.choice(vocab) for _ in range(120)]
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for size in (60, 700):
+        texts = []
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rng.randint(0, 7)):
+                at, kind = rng.randrange(len(w)), rng.randrange(3)
+                w[at : at + (kind != 1)] = [rng.choice(vocab)] if kind < 2 else []
+            texts.append(" ".join(w))
+        docs = dict(enumerate(texts))
+        spark.sparkContext.setJobGroup(f"near-{size}", "")
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), 4).collect()}
+        jobs.append(len(tracker.getJobIdsForGroup(f"near-{size}")))
+        assert got == brute(docs)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] + 30
+
+
+def test_similar_is_brute_force():
+    rng = np.random.default_rng(5)
+    for n_q, n_m in ((1, 40), (30, 40), (3, 1), (300, 500)):
+        base = rng.integers(0, 1 << 62, 60, dtype=np.uint64)
+
+        def one():
+            some = base[rng.random(60) > rng.choice([0.02, 0.1, 0.5])]
+            return np.unique(np.concatenate([some, rng.integers(0, 1 << 62, rng.integers(0, 12), dtype=np.uint64), base[:1]]))
+
+        q, m = [one() for _ in range(n_q)], [one() for _ in range(n_m)]
+        got = {(a, b) for x, y in near.similar(q, m, 80) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+        want = {(a, b) for a, x in enumerate(q) for b, y in enumerate(m) if 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))}
+        assert got == want
