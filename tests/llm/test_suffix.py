@@ -68,7 +68,7 @@ def test_nulls_repeats_long_and_empty(spark):
     rng = random.Random(3)
     a, b = "".join(rng.choices("abcdef", k=150)), "".join(rng.choices("abcdef", k=3000))
     rows = [(1, None), (2, ""), (3, a), (3, a), (4, a), (5, b), (5, a + b[:400]), (None, b[:200]), (9, b * 400)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = spark.createDataFrame([(*r, "x", 1, 2, 3, 4) for r in rows], "doc_id long, text string, id string, sub int, h int, own int, runs int")
     out = sorted(((r.doc_id, r.n_bytes, sum(x.end - x.start for x in r.spans), len(r.kept)) for r in s.dedup(df, 2).collect()), key=str)
     import zlib
 
