@@ -47,7 +47,7 @@ def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
 class Chunks:
     """Where the chunks of a block are: ``of[counts so far]`` numbers its distinct chunks."""
 
-    distinct: list[str]
+    distinct: pa.Array
     of: np.ndarray
     counts: np.ndarray
 
@@ -59,7 +59,7 @@ class Chunks:
             texts = pa.compute.replace_substring(texts, c, gaps[0])
         parts = pa.compute.split_pattern(texts, gaps[0])
         found = parts.flatten().dictionary_encode()
-        return cls(found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), parts.value_lengths().to_numpy())
+        return cls(found.dictionary, found.indices.to_numpy(), parts.value_lengths().to_numpy())
 
     @classmethod
     def cut(cls, block: Block, first: np.ndarray) -> Chunks:
@@ -68,7 +68,16 @@ class Chunks:
         ends = np.append(starts, len(block.data)).astype(np.int64)
         raw = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(block.data))])
         found = raw.dictionary_encode()
-        return cls(found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), np.diff(np.searchsorted(starts, block.bounds)))
+        return cls(found.dictionary, found.indices.to_numpy(), np.diff(np.searchsorted(starts, block.bounds)))
+
+
+    def spread(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From where each distinct chunk's ids are in flat: those of all texts one after the other, and how many each text has."""
+        if not len(self.of):
+            return flat[:0], np.zeros(len(self.counts), np.int64)
+        sizes = size[self.of]
+        so_far = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(self.counts)])]
+        return gathered(flat, start[self.of], sizes), np.diff(so_far)
 
 
 class Table:
@@ -99,21 +108,15 @@ class Table:
         self.used += len(ids)
         self.bytes += sum(map(len, chunks)) + len(chunks) * self.ENTRY + 8 * len(ids)
 
-    def rows(self, distinct: list[str], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """The row of each chunk; those that the table lacks are encoded first, each once. encode: chunks to their ids, one after the other, and how many each has."""
+    def ids(self, chunks: Chunks, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each text has. encode: chunks that the table lacks, each once, to their ids, one after the other, and how many each has."""
         if self.bytes > self.most:
             self.clear()
-        out = np.array([-1 if r is None else r for r in map(self.row.get, distinct)], np.int64)
-        lacking = np.flatnonzero(out < 0)
+        distinct = chunks.distinct.to_numpy(zero_copy_only=False).tolist()
+        rows = np.array([-1 if r is None else r for r in map(self.row.get, distinct)], np.int64)
+        lacking = np.flatnonzero(rows < 0)
         if len(lacking):
             new = [distinct[i] for i in lacking.tolist()]
-            out[lacking] = len(self.row) + np.arange(len(new))
+            rows[lacking] = len(self.row) + np.arange(len(new))
             self._add(new, *encode(new))
-        return out
-
-    def ids(self, chunks: Chunks, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after the other, and how many each text has."""
-        rows = self.rows(chunks.distinct, encode)[chunks.of] if len(chunks.of) else np.zeros(0, np.int64)
-        sizes = self.size[rows]
-        so_far = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(chunks.counts)])]
-        return gathered(self.flat, self.start[rows], sizes), np.diff(so_far)
+        return chunks.spread(self.flat, self.start[rows], self.size[rows])

@@ -16,12 +16,14 @@ Layout of a block (little-endian):
 Blocks are rows of a Parquet folder (file, block, first: ids of the file before the block, n_ids,
 n_docs, payload), so that any store Spark knows can hold them; ``table.parquet`` beside it has the
 frequency table. Null texts are empty; every document has at least its end id; rows that repeat a
-document id are all written, in the order of their ids; extra columns are ignored.
+document id are all written, in the order of their ids; an empty table gives an empty set of files;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import struct
@@ -33,15 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.llm.chunks import Block, Chunks, Table
 from tabulon.llm.common import Scratch, released, slices
 
 VERSION, LANES, CHECK_STEPS, BLOCK_IDS = 1, 1024, 128, 1 << 18
 #: Frequencies add up to 2 to this power; states lie in [LOW, 2**63).
 BITS, LOW = 20, 1 << 31
 HEAD = struct.Struct("<4sHHIIIQQII")
-#: Chunks whose ids a worker keeps; about 200 bytes each.
+#: Parts of chunks whose ids a worker keeps, about; some 250 bytes each.
 TABLE_ENTRIES = 1_000_000
-#: Chunks encoded in one call; the library is slower on much longer strings and on single chunks.
+#: Chunks encoded in one call of the whole library, which is slower on much longer strings and on single chunks.
 JOINED = 20
 #: Bytes of ids of one file, about.
 FILE_BYTES = 128 << 20
@@ -52,83 +55,97 @@ PLAIN = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xDF, 0xF7), *ra
 _BYTES = {b: chr(b) for b in [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]}
 _BYTES |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _BYTES)}
 _WRITTEN = {ord(c): "".join(_BYTES[b] for b in c.encode()) for c in PLAIN if ord(c) > 127}
-_WORD = re.compile(f"[{PLAIN}]+")
-_TAIL = frozenset(".,;:!?")
+_PLAIN, _WORD = re.compile(r"[a-z]+|[0-9]|[!-&(-/:-@\[-`{-~]+"), re.compile(f"[{PLAIN}]+")
+#: Kinds of bytes: letters, digits, other printable ASCII, ASCII that isn't cut, the rest.
+_LETTER, _DIGIT, _SIGN, _ODD, _HIGH = range(5)
+_KIND = np.array([_HIGH if b > 127 else _LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _SIGN if 32 < b < 127 and chr(b) != "'" else _ODD for b in range(256)], np.uint8)
+_TAIL = np.isin(np.arange(256), [ord(c) for c in ".,;:!?"])
+
+
+def cut(chunks: pa.Array) -> Chunks:
+    """Parts of chunks that are encoded apart. A chunk of printable ASCII without an apostrophe or "<|" is put in lower case and cut into runs of letters, single digits and runs of signs, as the vocabulary's pattern would; of others one mark is cut off after a letter."""
+    block = Block.of(chunks)
+    data, kind = block.data.copy(), _KIND[block.data]
+    first = np.zeros(len(data) + 1, bool)
+    first[block.bounds] = True
+    starts = np.flatnonzero(first[:-1])
+    if not len(starts):
+        return Chunks.cut(block, first[:-1])
+    special = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+    kept = np.add.reduceat(kind >= _ODD, starts) > 0
+    kept[np.searchsorted(starts, special, side="right") - 1] = True
+    sizes = np.diff(np.append(starts, len(data)))
+    loose = ~np.repeat(kept, sizes)
+    data[loose & (data >= 65) & (data <= 90)] += 32
+    first[1:-1] |= loose[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+    last = (starts + sizes - 1)[kept & (sizes > 1)]
+    one, two = data[last - 1], data[np.maximum(last - 2, 0)]
+    latin = (two == 0xC3) & (one >= 0x80) & (one <= 0xBF) & (one != 0x97) & (one != 0xB7)
+    first[last[_TAIL[data[last]] & ((_KIND[one] == _LETTER) | latin)]] = True
+    return Chunks.cut(Block(data, block.bounds), first[:-1])
 
 
 class WordCodec:
     """Ids as the tokenizers library gives them, for a vocabulary that never joins over white space.
 
-    Texts are cut at spaces, tabs and line feeds; each distinct chunk of a block of texts is
-    encoded once, and the ids go back by position. A chunk is looked up as its stem: in lower case
-    if it is ASCII (the vocabulary's normaliser does that), and without one mark after a letter
-    (its pattern always cuts there). Stems of plain letters go to the merges directly; the others
-    go through the whole library, several in one call.
+    Texts are cut at spaces, tabs and line feeds; each distinct chunk of a block of texts is encoded
+    once, and the ids go back by position. It is cut further, and a worker keeps the ids of the parts
+    that it has seen. Parts of plain letters, single digits and printable signs go to the merges directly; the
+    others go through the whole library, several in one call.
     """
 
     def __init__(self, path: str, entries: int = TABLE_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok, self.entries = Tokenizer.from_file(path), entries
+        self.tok = Tokenizer.from_file(path)
+        self.table = Table(np.uint16, entries * Table.ENTRY)
         if len(self.tok.encode("a b", add_special_tokens=False).ids) != 2 or self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("this vocabulary cannot be used chunk by chunk")
-        if [t.id for t in self.tok.model.tokenize("thé".translate(_WRITTEN))] != self.tok.encode("thé", add_special_tokens=False).ids:
-            raise ValueError("this vocabulary writes letters otherwise")
-        self.merge = self.tok.model.tokenize
-        self.tails = {c: np.array(self.tok.encode(c, add_special_tokens=False).ids, "<u2").tobytes() for c in _TAIL} | {"": b""}
-        self.packed = [struct.pack("<H", i) for i in range(self.tok.get_vocab_size())]
-        self.ids: dict[str, bytes] = {"": b""}
-
-    def _whole(self, stems: list[str]) -> None:
-        """Through the whole library, several stems in one call."""
-        for k in range(0, len(stems), JOINED):
-            part = stems[k : k + JOINED]
-            starts = np.zeros(len(part), np.int64)
-            np.cumsum([len(c) + 1 for c in part[:-1]], out=starts[1:])
+        for text in ("th\xe9", "a+&b", "x7"):
+            if [t.id for c in re.findall(r"[^\W\d]+|\d|\W+", text) for t in self.tok.model.tokenize(c.translate(_WRITTEN))] != self.tok.encode(text, add_special_tokens=False).ids:
+                raise ValueError("this vocabulary writes letters or cuts words otherwise")
+
+    def _whole(self, chunks: list[str]) -> list[list[int]]:
+        """Through the whole library, several in one call."""
+        out = []
+        for k in range(0, len(chunks), JOINED):
+            part = chunks[k : k + JOINED]
+            ends = np.cumsum([len(c) + 1 for c in part])
             e = self.tok.encode("\n".join(part), add_special_tokens=False)
-            ids = np.array(e.ids, "<u2").tobytes()
-            ends = np.searchsorted(np.array([a for a, _ in e.offsets], np.int64), np.append(starts[1:], 1 << 60)).tolist()
-            at = 0
-            for c, end in zip(part, ends, strict=True):
-                self.ids[c] = ids[2 * at : 2 * end]
-                at = end
-
-    def learn(self, chunks: set[str]) -> None:
-        ids, merge, packed, tails = self.ids, self.merge, self.packed, self.tails
-        new = chunks - ids.keys()
-        if len(ids) + len(new) > self.entries:
-            ids.clear()
-            ids[""] = b""
-            new = chunks - {""}
-        later, rest = [], set()
-        for c in new:
-            plain = c.isascii()
-            stem, tail = c.lower() if plain and "<|" not in c else c, ""
-            if stem[-1] in _TAIL and len(stem) > 1 and stem[-2] <= "\xff" and stem[-2].isalpha():
-                stem, tail = stem[:-1], stem[-1]
-            found = ids.get(stem)
-            if found is None:
-                if (plain and stem.isalpha()) or _WORD.fullmatch(stem):
-                    found = ids[stem] = b"".join([packed[t.id] for t in merge(stem if plain else stem.translate(_WRITTEN))])
-                else:
-                    rest.add(stem)
-                    later.append((c, stem, tail))
-                    continue
-            ids[c] = found + tails[tail]
-        self._whole(list(rest))
-        for c, stem, tail in later:
-            ids[c] = ids[stem] + tails[tail]
+            ends = np.searchsorted(np.array([a for a, _ in e.offsets], np.int64), ends).tolist()
+            out += [e.ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
+    def _merge(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        merge, ids, later = self.tok.model.tokenize, [], []
+        for k, c in enumerate(chunks):
+            if _PLAIN.fullmatch(c) and "<|" not in c:
+                ids.append([t.id for t in merge(c)])
+            elif _WORD.fullmatch(c):
+                ids.append([t.id for t in merge(c.translate(_WRITTEN))])
+            else:
+                ids.append(None)
+                later.append(k)
+        for k, found in zip(later, self._whole([chunks[k] for k in later]), strict=True):
+            ids[k] = found
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint16, int(sizes.sum())), sizes
+
+    def arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has."""
+        chunks = Chunks.split(texts, " \t\n")
+        ids, sizes = self.table.ids(cut(chunks.distinct), self._merge)
+        return chunks.spread(ids, np.cumsum(sizes) - sizes, sizes)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 16-bit integers."""
-        cut = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        self.learn(set().union(*cut))
-        get = self.ids.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        ids, counts = self.arrays(pa.array(texts, pa.large_string()))
+        ends = np.cumsum(counts)
+        return [ids[a:b].astype("<u2").tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def codec(path: str) -> WordCodec:
     """The one of this worker, which keeps its table from task to task."""
     return WordCodec(path)
@@ -140,12 +157,14 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id"
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end, total = codec(path), struct.pack("<H", end_id), np.zeros(1 << 16, np.int64)
+        coder, total = codec(path), np.zeros(1 << 16, np.int64)
         for batch in slices(batches):
-            ids = coder.encode([t or "" for t in batch.column("text").to_pylist()])
-            total += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=1 << 16)
-            total[end_id] += len(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x + end for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names=["id", "ids", "counts"])
+            ids, counts = coder.arrays(batch.column("text"))
+            ids = np.insert(ids, np.cumsum(counts), end_id)
+            total += np.bincount(ids, minlength=1 << 16)
+            ends = np.concatenate([[0], 2 * np.cumsum(counts + 1)]).astype(np.int32)
+            binary = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u2"))])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), binary, pa.nulls(len(counts), pa.binary())], names=["id", "ids", "counts"])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([np.stack([at, total[at]]).astype("<i8").tobytes()], pa.binary())], names=["id", "ids", "counts"])
 
