@@ -339,16 +339,21 @@ def rag_max_rows(spark, sf_dir):
     return rest
 
 
+def _cell_sql(column: int, kind: str, value: str) -> str:
+    """SQL for the JSON of a cell of row r."""
+    letter = R.letters(column)
+    return f"""'{{"row":' || r || ',"column":{column},"address":"{letter}' || r || '","value":{{"type":"{kind}","value":' || {value} || '}},"formula":null,"calculationStatus":"notApplicable","styleId":0,"numberFormat":"General"}}'"""
+
+
 @query(
     "rag_cells",
-    """
-WITH d AS (SELECT p_partkey + 2 AS r, * FROM part)
-SELECT r AS _row, '{"row":' || r || ',"column":1,"address":"A' || r || '","value":{"type":"int","value":' || p_partkey || '},"formula":null,"calculationStatus":"notApplicable","styleId":0,"numberFormat":"General"}' AS first_cell,
+    f"""WITH d AS (SELECT p_partkey + 2 AS r, * FROM part)
+SELECT r AS _row, '{{"row":' || r || ',"cells":[' || {_cell_sql(1, "int", "p_partkey")} || ',' || {_cell_sql(2, "string", "CAST(to_json(p_name) AS VARCHAR)")} || CASE WHEN p_size = 1 THEN '' ELSE ',' || {_cell_sql(3, "int", "p_size")} END || ']}}' AS document,
        CASE WHEN p_size = 1 THEN 2 ELSE 3 END AS n_cells FROM d""",
 )
 def rag_cells(spark, sf_dir):
     data, _, _ = _chunk_rows(spark, sf_dir, E.ExportOptions())
-    return data.select(S.ROW, F.regexp_extract(E.row_json(F.col(S.ROW), F.col("cells")), r"\"cells\":\[(.*?\"General\"\})", 1).alias("first_cell"), F.size("cells").alias("n_cells"))
+    return data.select(S.ROW, E.row_json(F.col(S.ROW), F.col("cells")).alias("document"), F.size("cells").alias("n_cells"))
 
 
 BACK = "\\"
