@@ -7,7 +7,7 @@ distinct chunk of a block of texts is segmented once, and the ids go back by pos
 keeps the table between blocks, up to ``TABLE_ENTRIES`` chunks, and then starts it anew.
 
 Null texts are empty; an empty text has no ids; repeated rows each give a row; extra columns are
-ignored. Whole texts are encoded, whatever their length.
+ignored; an empty table gives an empty result. Whole texts are encoded, whatever their length.
 """
 
 from __future__ import annotations
