@@ -8,9 +8,9 @@ from its first to its last, blank ones between them included. Covered lines go,
 Null texts stay null and have no lines; texts of fewer than three lines that count stay as they
 are. Rows that repeat an id are told apart by their text and ordered by its hash; rows equal in
 both are one document to each other: neither removes the other's lines. Columns other than id and
-text pass through untouched, whatever their names.
+text pass through untouched, whatever their names. An empty table gives an empty result.
 
-Windows travel as 16-byte digests with places, never as lines. Digests are counted with a partial
+Windows are cut once and saved as 16-byte digests with places, never as lines. Digests are counted with a partial
 aggregate before the shuffle, so a window with very many copies is one row there; the join that
 flags later copies is an ordinary sort-merge join, whose large partitions Spark splits.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import released, slices
+from tabulon.llm.common import Scratch, released, slices
 
 BLANKS = " \t\r"
 WINDOW = 3
@@ -40,10 +40,13 @@ def _windows(text: Column) -> Column:
 
 def repeated(docs: DataFrame) -> DataFrame:
     """docs: id, h, text. (id, h, cuts array<struct<s,e>>) of documents with windows that occurred earlier."""
-    w = docs.select("id", "h", F.explode(_windows(F.col("text"))).alias("w")).select("id", "h", "w.s", "w.e", "w.digest")
+    scratch = Scratch(docs.sparkSession, "lines")
+    w = scratch.save(docs.select("id", "h", F.explode(_windows(F.col("text"))).alias("w")).select("id", "h", "w.s", "w.e", "w.digest"), "windows")
     firsts = w.groupBy("digest").agg(F.min(F.struct("id", "h", "s")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = w.join(firsts, "digest").where(~F.struct("id", "h", "s").eqNullSafe(F.col("first")))
-    return later.groupBy("id", "h").agg(F.collect_set(F.struct("s", "e")).alias("cuts"))
+    cuts = scratch.save(later.groupBy("id", "h").agg(F.collect_set(F.struct("s", "e")).alias("cuts")), "cuts")
+    scratch.keep("cuts")
+    return cuts
 
 
 def cut_lines(text: str, cuts: list[tuple[int, int]]) -> tuple[str, int]:
@@ -62,7 +65,7 @@ def cut_lines(text: str, cuts: list[tuple[int, int]]) -> tuple[str, int]:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows: rest struct (the other columns), id, text (without the covered lines), n_lines, n_removed."""
     others = [f.name for f in docs.schema if f.name not in (id_col, text_col)]
-    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(None).cast("string").alias("none"))
+    rest = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in others]) if others else F.struct(F.lit(None).cast("string").alias("none"))
     rows = docs.select(rest.alias("rest"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     cuts = repeated(rows.select("id", "h", "text")).withColumnsRenamed({"id": "id2", "h": "h2"})
     both = rows.join(cuts, rows["id"].eqNullSafe(cuts["id2"]) & (rows["h"] == cuts["h2"]), "left").select("rest", "id", "text", "cuts")
