@@ -295,6 +295,6 @@ def dedup(docs: DataFrame, batches: int = BATCHES, many: int = MANY, id_col: str
         runs = runs.unionByName(x)
     runs = scratch.save(runs.groupBy("id", "sub").agg(F.collect_set(F.struct("a", "n")).alias("runs")), "runs")
     scratch.keep("runs")
-    both = rows.join(runs, ["id", "sub"], "left").select("own", "text", "runs")
+    both = rows.join(runs.hint("merge"), ["id", "sub"], "left").select("own", "text", "runs")
     out = both.mapInArrow(_cut, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return out.withColumnRenamed("id", id_col)
