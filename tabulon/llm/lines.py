@@ -67,7 +67,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     others = [f.name for f in docs.schema if f.name not in (id_col, text_col)]
     rest = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in others]) if others else F.struct(F.lit(None).cast("string").alias("none"))
     rows = docs.select(rest.alias("rest"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    cuts = repeated(rows.select("id", "h", "text")).withColumnsRenamed({"id": "id2", "h": "h2"})
+    # One plan at every size: the cuts grow with the table.
+    cuts = repeated(rows.select("id", "h", "text")).withColumnsRenamed({"id": "id2", "h": "h2"}).hint("merge")
     both = rows.join(cuts, rows["id"].eqNullSafe(cuts["id2"]) & (rows["h"] == cuts["h2"]), "left").select("rest", "id", "text", "cuts")
     schema = T.StructType([*both.schema.fields[:3], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
