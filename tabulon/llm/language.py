@@ -43,7 +43,7 @@ SAMPLE_DOCS, SAMPLE_CHARS = 400, 16_384
 CELLS = 60_000
 ROUNDS, PRIOR = 3, 0.05
 #: Words that a worker keeps the scores of; about 200 bytes each.
-TABLE_ENTRIES = 200_000
+TABLE_ENTRIES = 100_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 

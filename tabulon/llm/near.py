@@ -44,7 +44,7 @@ TRIES = 32
 #: Shingles of either side of a tile, about; and cells of a matrix that counts shared ones.
 TILE, CELLS = 250_000, 4_000_000
 #: Words that a worker keeps the hashes of; about 150 bytes each.
-TABLE_ENTRIES = 200_000
+TABLE_ENTRIES = 100_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]

@@ -25,7 +25,7 @@ from tabulon.llm.common import released, slices
 
 MARK = "▁"
 #: Chunks that a worker keeps, about; some 300 bytes each.
-TABLE_ENTRIES = 200_000
+TABLE_ENTRIES = 100_000
 #: Chunks segmented in one call.
 JOINED = 100
 
