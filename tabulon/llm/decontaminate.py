@@ -19,8 +19,10 @@ much is on the driver at any time; beyond it there is another pass over the text
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -58,6 +60,7 @@ class Matcher:
                 ids = found.setdefault(w[i : i + window], {})
                 if item is not None:
                     ids[item] = None
+        self.least = min(map(len, found), default=0)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for w, ids in found.items():
             self.automaton.add_word(w, (len(w), tuple(ids)))
@@ -65,13 +68,16 @@ class Matcher:
             self.automaton.make_automaton()
 
     def scan(self, text: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Word intervals covered by windows, and the items found."""
-        get = self.number.get
-        numbers = tuple([get(w, 0) for w in text])
+        """Word intervals covered by windows, and the items found. A window lies within a run of the items' words, so shorter runs than any window needn't be looked at."""
         hits, found = [], set()
-        if self.number and any(numbers):
-            for last, (n, ids) in self.automaton.iter(numbers):
-                hits.append((last + 1 - n, last + 1))
+        if not self.least or len(text) < self.least:
+            return hits, found
+        numbers = np.fromiter(map(self.number.get, text, itertools.repeat(0)), np.int64, len(text))
+        strange = np.concatenate([[-1], np.flatnonzero(numbers == 0), [len(numbers)]])
+        for k in np.flatnonzero(np.diff(strange) > self.least).tolist():
+            begin, end = int(strange[k]) + 1, int(strange[k + 1])
+            for last, (n, ids) in self.automaton.iter(tuple(numbers[begin:end].tolist())):
+                hits.append((begin + last + 1 - n, begin + last + 1))
                 found.update(ids)
         return merged(hits), found
 
